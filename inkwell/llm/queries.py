@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.bpe import encode_corpus
+from inkwell.llm.knn import close_pairs, nearest
 from inkwell.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return close_pairs(nearest(table(spark, folder, "segments"))).toDF("seg_id_a", "seg_id_b")
+
+
+def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "segments")).withColumnsRenamed({"id": "seg_id"})
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
     "p8_ids": p8_ids,
 }
 
