@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.knn import close_pairs, nearest
+from inkwell.llm.leaks import leaked, leaks
 from inkwell.sources.tables import table
 
 
@@ -23,10 +24,21 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")))
+
+
+def p9_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents that share a template window with an item, and how much of it."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_windows": p9_windows,
 }
 
 SQL: dict[str, str] = {}
