@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.knn import close_pairs, nearest
 from inkwell.llm.leaks import leaked, leaks
+from inkwell.llm.sentences import sentences
 from inkwell.sources.tables import table
 
 
@@ -33,12 +34,23 @@ def p9_windows(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents")).select("doc_id", "start_at")
+
+
+def p10_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The units with their text."""
+    return sentences(table(spark, folder, "documents"), with_text=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
+    "p10_found": p10_found,
+    "p10_units": p10_units,
 }
 
 SQL: dict[str, str] = {}
