@@ -4,7 +4,7 @@ Method: cross-polytope hashing. A vector, less the mean of all vectors, is turne
 pseudo-rotations (three rounds of random signs and a Hadamard transform); its cells are the
 signed axes that lie nearest. Each vector is put into its `probes` nearest cells of each of
 `tables` independent tables, and two vectors are candidates of each other if they share a
-cell. The vectors of a cell are compared with each other exactly, in blocks of matrix
+cell. The vectors of a cell are compared with each other exactly, in stripes of matrix
 products, and the k best of every vector are merged over cells.
 
 Probing on both sides needs few copies: with c cells for each vector, c rows are shuffled
@@ -34,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a cell that one task compares with each other; edge of a block of products.
-CELL_ROWS, BLOCK = 65_536, 2_048
+#: Rows of a cell that one task compares with each other.
+CELL_ROWS = 65_536
+#: Queries multiplied at once with all rows of a cell, products held at most, columns of a group.
+STRIPE, STRIPE_CELLS, WIDE = 256, 16_000_000, 32
 #: Rows from which on cells are divided further: their number doubles with the rows.
 FINER_FROM = 4_000_000
 STEPS = 32_767.0
@@ -107,90 +109,52 @@ class Cells:
         return np.concatenate(out, 1)
 
 
-class TopK:
-    """The k best candidates of every row of a group so far."""
-
-    def __init__(self, rows: int, k: int):
-        self.k = k
-        self.score = np.full((rows, k), -2.0, np.float32)
-        self.who = np.full((rows, k), -1, np.int64)
-
-    def limit(self, at: slice) -> np.ndarray:
-        return self.score[at, -1]
-
-    def add(self, row: np.ndarray, who: np.ndarray, score: np.ndarray) -> None:
-        """Candidates that are new to these rows."""
-        if not len(row):
-            return
-        rows, inverse = np.unique(row, return_inverse=True)
-        r = np.concatenate([inverse, np.repeat(np.arange(len(rows)), self.k)])
-        s = np.concatenate([score, self.score[rows].ravel()])
-        w = np.concatenate([who, self.who[rows].ravel()])
-        order = np.lexsort((w, -s, r))
-        r = r[order]
-        place = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r]
-        keep = order[place < self.k]
-        self.score[rows] = s[keep].reshape(-1, self.k)
-        self.who[rows] = w[keep].reshape(-1, self.k)
-
-
-def _hits(s: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of s that may be among the row's k best, given what was found before.
-
-    The maxima of groups of columns bound the k-th best from below, so only groups that
-    reach the bound are looked into.
-    """
-    n, m = s.shape
-    wide = 32
-    if m < wide * 4:
-        g = s
-        groups = m
-    else:
-        groups = -(-m // wide)
-        pad = groups * wide - m
-        t = np.concatenate([s, np.full((n, pad), -2, s.dtype)], 1) if pad else s
-        g = t.reshape(n, wide, groups).max(1)
-    if groups > k:
-        limit = np.maximum(limit, np.partition(g, groups - k, axis=1)[:, groups - k])
-    r, c = np.nonzero(g >= np.maximum(limit, -1.5)[:, None])
-    if groups == m:
-        return r, c
-    cols = c[:, None] + np.arange(wide) * groups
-    rows = np.repeat(r, wide).reshape(-1, wide)
-    ok = cols < m
-    ok &= t[rows, np.minimum(cols, groups * wide - 1)] >= limit[rows]
-    return rows[ok], cols[ok]
-
-
 def compare(ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of every row among the others: (ids, neighbours, scores), -1 where none.
+    """The k best of every row among the others, flat: (ids, neighbours, scores).
 
-    side: None compares all rows with each other; else only rows of different sides.
+    ids ascend. side: None compares all rows with each other; else only rows of different sides.
     """
-    best = TopK(len(ids), k)
     if side is None:
-        parts = [np.arange(len(ids))]
-        pairs = [(0, 0)]
+        parts = [(np.arange(len(ids)), np.arange(len(ids)))]
     else:
-        parts = [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
-        pairs = [(0, 1)]
-    for p, q in pairs:
-        left, right = parts[p], parts[q]
-        for a in range(0, len(left), BLOCK):
-            ra = left[a : a + BLOCK]
-            for b in range(a if p == q else 0, len(right), BLOCK):
-                rb = right[b : b + BLOCK]
-                s = x[ra] @ x[rb].T
-                same = p == q and a == b
-                if same:
-                    np.fill_diagonal(s, -2)
-                r, c = _hits(s, best.score[ra, -1], k)
-                best.add(ra[r], ids[rb[c]], s[r, c])
-                if not same:
-                    t = np.ascontiguousarray(s.T)
-                    r, c = _hits(t, best.score[rb, -1], k)
-                    best.add(rb[r], ids[ra[c]], t[r, c])
-    return ids, best.who, best.score
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        parts = [(left, right), (right, left)]
+    out = [_search(ids[q], x[q], ids[r], x[r], k, side is None) for q, r in parts if len(q) and len(r)]
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (ids[:0], ids[:0], x[:0, 0])
+
+
+def _search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of x for each query. A stripe of queries is multiplied with all rows;
+    the k-th best of the maxima over groups of columns bounds the k-th best from below, and
+    only groups that reach the bound are looked into. same: the queries are the rows."""
+    n = len(ids)
+    groups = -(-n // WIDE)
+    table = np.zeros((x.shape[1], groups * WIDE), np.float32)
+    table[:, :n] = x.T
+    stripe = max(16, min(STRIPE, STRIPE_CELLS // (groups * WIDE)))
+    room = np.empty((stripe, groups * WIDE), np.float32)
+    found = []
+    for a in range(0, len(queries), stripe):
+        q = queries[a : a + stripe]
+        m = len(q)
+        s = np.matmul(q, table, out=room[:m])
+        s[:, n:] = -3
+        if same:
+            s[np.arange(m), np.arange(a, a + m)] = -3
+        g = s.reshape(m, WIDE, groups).max(1)
+        bound = np.partition(g, groups - k, axis=1)[:, groups - k] if groups > k else np.full(m, -2, np.float32)
+        bound = np.maximum(bound, -2)
+        row, group = np.nonzero(g >= bound[:, None])
+        cols = group[:, None] + np.arange(WIDE) * groups
+        values = s.ravel()[row[:, None] * (groups * WIDE) + cols]
+        at, which = np.nonzero(values >= bound[row][:, None])
+        row, col, value = row[at], cols[at, which], values[at, which]
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
+        keep = place < k
+        found.append((query_ids[a + row[keep]], ids[col[keep]], value[keep]))
+    return tuple(np.concatenate(v) for v in zip(*found))
 
 
 def _merged(ids: np.ndarray, who: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -343,11 +307,9 @@ def nearest(
             x = q[first].astype(np.float32)
             x /= np.sqrt((x * x).sum(1))[:, None]
             side = side[first]
-            a, w, s = compare(ids, x, None if (side == 0).all() else side - 1, k)
-            flat = np.repeat(a, k), w.ravel(), s.ravel()
-            ok = flat[1] >= 0
-            done.append(tuple(v[ok] for v in flat))
-            waiting += int(ok.sum())
+            got = compare(ids, x, None if (side == 0).all() else side - 1, k)
+            done.append(got)
+            waiting += len(got[0])
 
         def emit() -> Iterator[pa.RecordBatch]:
             nonlocal waiting
