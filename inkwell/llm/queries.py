@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.knn import close_pairs, nearest
 from inkwell.llm.leaks import leaked, leaks
+from inkwell.llm.markup import clean
 from inkwell.llm.sentences import sentences
-from inkwell.sources.tables import table
+from inkwell.sources.tables import once, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +23,23 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "segments")).withColumnsRenamed({"id": "seg_id"})
 
 
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean text, blocks and pieces of every chunk and heading, each id once."""
+    parts = []
+    for tab, key in (("chunks", "chunk_id"), ("headings", "heading_id")):
+        rows = clean(once(table(spark, folder, tab).select(key, "text"), key), key)
+        parts.append(rows.select(F.lit(tab).alias("tab"), "row_id", "clean", "blocks", F.map_entries("pieces").alias("pieces")))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = []
+    for tab, key in (("chunks", "chunk_id"), ("headings", "heading_id")):
+        rows = clean(table(spark, folder, tab), key)
+        parts.append(rows.where(F.size("pieces") > 0).select(F.lit(tab).alias("tab"), "row_id"))
+    return parts[0].unionByName(parts[1]).distinct()  # copies of a row have the same pieces
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -46,6 +65,8 @@ def p10_units(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nearest": p1_nearest,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
