@@ -6,5 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from inkwell.operators import manifest, references
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": references.p3_found,
+    "p3_counts": references.p3_counts,
+    "p6_found": manifest.p6_found,
+}
+SQL: dict[str, str] = {
+    "p3_found": references.P3_SQL,
+    "p6_found": manifest.P6_SQL,
+}
