@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import encode_corpus
+from inkwell.llm.fusion import HIT_SCORES, fuse, in_front
 from inkwell.llm.knn import close_pairs, nearest
 from inkwell.llm.leaks import leaked, leaks
 from inkwell.llm.markup import clean
 from inkwell.llm.sentences import sentences
+from inkwell.llm.terms import CJK, distinctive, term_frequencies, value_frequencies
 from inkwell.sources.tables import once, table
 
 
@@ -40,6 +42,40 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()  # copies of a row have the same pieces
 
 
+def p4_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences and records of every term of chunks and every value of front matter."""
+    a = term_frequencies(table(spark, folder, "chunks"), "chunk_id", "text")
+    b = value_frequencies(table(spark, folder, "frontmatter"), "fm_id", "file_id", "value")
+    return a.select(F.lit("chunks").alias("tab"), "*").unionByName(b.select(F.lit("frontmatter").alias("tab"), "*"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_frequencies(spark, folder).where("band is not null").select("tab", "term", "band")
+
+
+def p5_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every term of every chunk and title."""
+    a = distinctive(table(spark, folder, "chunks"), "chunk_id", "text")
+    b = distinctive(table(spark, folder, "files"), "file_id", "title")
+    return a.select(F.lit("chunks").alias("tab"), "*").unionByName(b.select(F.lit("files").alias("tab"), "*"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    a = distinctive(table(spark, folder, "chunks"), "chunk_id", "text", least_tf=3)
+    b = distinctive(table(spark, folder, "files"), "file_id", "title")
+    both = a.select(F.lit("chunks").alias("tab"), "*").unionByName(b.select(F.lit("files").alias("tab"), "*"))
+    return both.where(F.col("df").between(2, 5)).select("tab", "row_id", "term")
+
+
+def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """The fused ranking of every query."""
+    return fuse(table(spark, folder, "hits"), HIT_SCORES)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return in_front(fuse(table(spark, folder, "hits"), HIT_SCORES), list(HIT_SCORES)).select("query_id", "chunk_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -67,6 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_nearest": p1_nearest,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p4_found": p4_found,
+    "p4_frequencies": p4_frequencies,
+    "p5_found": p5_found,
+    "p5_scores": p5_scores,
+    "p7_found": p7_found,
+    "p7_ranking": p7_ranking,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_windows": p9_windows,
@@ -74,4 +116,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_units": p10_units,
 }
 
-SQL: dict[str, str] = {}
+#: Terms of a text column in DuckDB: CJK runs are set apart, then paired.
+_TERMS = rf"""
+runs as (
+  select tab, row_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([{CJK}]+)', ' \1 ', 'g'), '[{CJK}]+|[\p{{L}}\p{{N}}]+')) as run from texts where text is not null),
+terms as (
+  select tab, row_id, unnest(case when regexp_matches(run, '^[{CJK}]') and length(run) > 1
+    then list_transform(range(1, length(run)), lambda i: substring(run, i, 2)) else [run] end) as term from runs)
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"""
+with texts as (select distinct 'chunks' as tab, chunk_id as row_id, text from chunks union all select distinct 'files', file_id, title from files),
+{_TERMS},
+tf as (select tab, row_id, term, count(*) as tf from terms group by all),
+df as (select tab, term, count(*) as df from tf group by all)
+select tf.tab, row_id, tf.term from tf join df on tf.tab = df.tab and tf.term = df.term where df between 2 and 5 and (tf.tab = 'files' or tf >= 3)
+""",
+    "p7_found": """
+with h as (select distinct query_id, chunk_id, bm25, semantic_score, score from hits),
+r as (select *, rank() over (partition by query_id order by bm25 nulls last) as a,
+        rank() over (partition by query_id order by semantic_score desc nulls last) as b,
+        rank() over (partition by query_id order by score desc nulls last) as c from h)
+select query_id, chunk_id from r where bm25 is not null and semantic_score is not null and score is not null and a <= 5 and b <= 5 and c <= 5
+""",
+}
