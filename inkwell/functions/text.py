@@ -35,12 +35,13 @@ def folded(c: Column) -> Column:
 def tokens(c: Column, fold: bool = True) -> Column:
     """array<string>: lower-case words and overlapping CJK pairs, in order of the text (a
     lone CJK character is a token). Null gives an empty array."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(RUNS), F.lit(0))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    # Folded once for the whole text, not for each word.
+    runs = F.regexp_extract_all(folded(low) if fold else low, F.lit(RUNS), F.lit(0))
 
     def pieces(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        word = F.array(folded(run) if fold else run)
-        return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(word)
+        return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
     return F.flatten(F.transform(runs, pieces))
 
@@ -125,5 +126,6 @@ def usable(vec: Column, dim: int = 64) -> Column:
 
 def unit(vec: Column) -> Column:
     """array<double> of length one; vectors shorter than 1e-9 stay as they are."""
-    n = norm(vec)
-    return F.transform(vec, lambda x: F.when(n < 1e-9, x.cast("double")).otherwise(x.cast("double") / n))
+    # The norm stands in an array of its own, so that it is computed once and not per number.
+    n = F.array_repeat(F.greatest(norm(vec), F.lit(0.0)), F.size(vec))
+    return F.zip_with(vec, n, lambda x, l: F.when(l < 1e-9, x.cast("double")).otherwise(x.cast("double") / l))
