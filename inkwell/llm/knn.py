@@ -39,7 +39,7 @@ CELL_ROWS = 65_536
 #: Queries multiplied at once with all rows of a cell, products held at most, columns of a group.
 STRIPE, STRIPE_CELLS, WIDE = 256, 16_000_000, 32
 #: Rows from which on cells are divided further: their number doubles with the rows.
-FINER_FROM = 4_000_000
+FINER_FROM = 400_000
 STEPS = 32_767.0
 
 
@@ -243,7 +243,7 @@ def nearest(
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, cosine double")
     mean = np.array([got[i] for i in range(dim)]) / rows
     finer = 0 if rows <= FINER_FROM else 1 << max(0, math.ceil(math.log2(rows / FINER_FROM)) - 1)
-    cells = Cells(mean, tables, probes if not finer else probes + 2 * finer.bit_length(), finer, seed)
+    cells = Cells(mean, tables, probes + 4 * finer.bit_length(), finer, seed)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(cells.count, np.int64)
