@@ -135,7 +135,7 @@ def bm25_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """with d as (select distinct chunk_id, text from chunks), t as (select distinct chunk_id, lower(unnest(regexp_extract_all(text, '[ァ-ヺー]{3,}|[A-Za-z][A-Za-z0-9.+-]{2,}'))) as term from d where text is not null),
+    """with d as (select distinct chunk_id, text from chunks), t as (select distinct chunk_id, lower(unnest(regexp_extract_all(text, '[\\p{Katakana}ー]{3,}|[A-Za-z][A-Za-z0-9.+-]{2,}'))) as term from d where text is not null),
 n as (select term, count(*) as n from t group by term)
 select term, n from n where n >= 2 and n <= greatest(2, floor((select count(*) from d) * 0.4)) order by n desc, term limit 400"""
 )
@@ -489,6 +489,22 @@ def openapi_detect(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.coalesce(is_openapi(F.col("text")), F.lit(False)).alias("openapi"))
 
 
+@query(
+    """with c as (select distinct chunk_id, lower(text) as t from chunks), p as (select chunk_id, string_split(t, 'the') as parts from c where contains(t, 'the'))
+select chunk_id, (length(parts[1]))::int as first_at, (len(parts) - 1)::int as n from p"""
+)
+def find_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Where a term stands first in each chunk that has it, and how often it stands there."""
+    at = T.positions(F.col("text"), "the")
+    rows = _chunks(spark, folder).select("chunk_id", at.alias("at")).where(F.size("at") > 0)
+    return rows.select("chunk_id", F.element_at("at", 1).alias("first_at"), F.size("at").alias("n"))
+
+
+@query("""select doc_id, unnest(regexp_extract_all(text, '(?m)^[ \t]*>[ \t]*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]', 1)) as alert from documents where text is not null""")
+def md_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.explode(T.alerts(F.col("text"))).alias("alert"))
+
+
 # --- evaluation and feeds --------------------------------------------------------------------
 
 EVAL = f"""{HITS}, gold as (select query_id, arg_max(rel_path, struct_pack(a := semantic_score, b := -chunk_id)) as gold from h where semantic_score is not null group by query_id),
@@ -522,7 +538,7 @@ def eval_recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
     f"""with {HITS}, got as (select distinct query_id, rel_path from h where array_contains(kinds, 'structured')), want as (select distinct query_id, rel_path from h where rank <= 10),
 b as (select coalesce(a.query_id, w.query_id) as query_id, count(a.rel_path) as g, count(w.rel_path) as w, sum(case when a.rel_path is not null and w.rel_path is not null then 1 else 0 end) as hit
   from got a full join want w on a.query_id = w.query_id and a.rel_path = w.rel_path group by 1)
-select query_id, round(case when g > 0 then hit / g when hit = 0 then 1.0 end, 6) as precision, round(case when w > 0 then hit / w when hit = 0 then 1.0 end, 6) as recall, hit = g and hit = w as exact from b"""
+select query_id, round(case when g > 0 then hit / g else 0.0 end, 6) as precision, round(case when w > 0 then hit / w else 1.0 end, 6) as recall, hit = g and hit = w as exact from b"""
 )
 def eval_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
     h = _hits(spark, folder).withColumnRenamed("rel_path", "item")

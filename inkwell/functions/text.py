@@ -110,6 +110,19 @@ def occurrences(text: Column, term: str, most: int = 5000) -> Column:
     return F.least(n.cast("int"), F.lit(most))
 
 
+def positions(text: Column, term: str, most: int = 5000) -> Column:
+    """Places (from 0) where a term stands, case aside, without overlaps, `most` at most."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\Q" + term.lower().replace("\\E", "") + r"\E")
+    lengths = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
+    ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x) + i * len(term))
+    return F.slice(ends, 1, most)
+
+
+def alerts(text: Column) -> Column:
+    """Kinds of the alert blocks (`> [!NOTE]` and the like) of a Markdown text, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^[ \t]*>[ \t]*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]"), F.lit(1))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

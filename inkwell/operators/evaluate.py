@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vocabulary: Katakana of three or more, or Latin words of three or more (fixed value).
-VOCABULARY = r"[ァ-ヺー]{3,}|[A-Za-z][A-Za-z0-9.+-]{2,}"
+VOCABULARY = r"[\p{IsKatakana}ー]{3,}|[A-Za-z][A-Za-z0-9.+-]{2,}"
 DF_SHARE, MOST_TERMS = 0.4, 400
 
 
@@ -30,8 +30,9 @@ def precision_recall(returned: DataFrame, gold: DataFrame, by: str = "query_id",
     a = returned.select(by, item).distinct().withColumn("got", F.lit(1))
     b = gold.select(by, item).distinct().withColumn("want", F.lit(1))
     both = a.join(b, [by, item], "full_outer").groupBy(by).agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("got", "want")), F.sum(F.when(F.col("got").isNotNull() & F.col("want").isNotNull(), 1).otherwise(0)).alias("hit"))
-    share = lambda n: F.round(F.when(F.col(n) > 0, F.col("hit") / F.col(n)).otherwise(F.when(F.col("hit") == 0, 1.0)), 6)
-    return both.select(by, share("got").alias("precision"), share("want").alias("recall"), ((F.col("hit") == F.col("got")) & (F.col("hit") == F.col("want"))).alias("exact"))
+    # Nothing returned where something was wanted has precision 0; nothing wanted has recall 1.
+    share = lambda n, none: F.round(F.when(F.col(n) > 0, F.col("hit") / F.col(n)).otherwise(none), 6)
+    return both.select(by, share("got", 0.0).alias("precision"), share("want", 1.0).alias("recall"), ((F.col("hit") == F.col("got")) & (F.col("hit") == F.col("want"))).alias("exact"))
 
 
 def index_percentiles(values: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 1.0)) -> DataFrame:

@@ -13,8 +13,7 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
     """Keys that hold more than a `share`-th of the rows: fewer than `share`, counted over all
     rows with partial counts before the shuffle."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(F.col(key).alias("k"), "n")
-    # Only keys that may be hot come along; the total of the partial maxima isn't known yet,
-    # so the largest `share` counts are taken, which hold every hot key.
+    # At most `share` - 1 keys can be hot, so the largest `share` counts hold all of them.
     top = counts.orderBy(F.desc("n")).limit(share).collect()
     total = df.where(F.col(key).isNotNull()).count()
     return [r.k for r in top if r.n * share > total]
