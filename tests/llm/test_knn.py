@@ -43,3 +43,15 @@ def test_unusable_vectors_copies_and_small_tables(spark):
     assert sorted(map(tuple, close_pairs(out).collect())) == [(1, 2)]
     assert nearest(df.limit(0)).count() == 0
     assert nearest(df.where("seg_id = 3")).count() == 0
+
+
+def test_finer_cells_for_many_rows(spark, monkeypatch):
+    from inkwell.llm import knn
+
+    monkeypatch.setattr(knn, "FINER_FROM", 300)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(25, 64))[rng.integers(0, 25, 900)] + 0.5 * rng.normal(size=(900, 64))
+    ids = np.arange(900)
+    df = spark.createDataFrame([(int(i), v.astype("float32").tolist()) for i, v in zip(ids, x)], "seg_id long, vec array<float>")
+    true, got = brute(x.astype(np.float32), ids, 10), found(nearest(df))
+    assert np.mean([len(set(got.get(i, [])) & set(true[i])) / 10 for i in true]) > 0.9
