@@ -5,7 +5,7 @@ for each language, by log-likelihood ratios over the whole corpus (`learn`); the
 is classified with these statistics (`split`). What is learned:
 
 - abbreviations: short types that a full stop follows far more often than its share
-  (Dunning's ratio, scaled by length, inner stops and occurrences without stop);
+  (Dunning's ratio, scaled by length, inner stops and the share of occurrences without stop);
 - of these, the ones that may end a sentence (`etc.`): they occur at ends of paragraphs,
   which a title or `p.` never does;
 - collocations: words that follow a number with stop (`3. Oktober`) more often than they
@@ -39,6 +39,9 @@ from pyspark.sql import functions as F
 #: Longest abbreviation in letters; least ratio of an abbreviation; least ratio of
 #: starters and collocations (chi square, one degree of freedom, 0.5 %).
 LONGEST, ABBREVIATION, ASSOCIATED = 8, 0.3, 7.88
+#: Occurrences up to which those without stop weigh by their number, and up to which a ratio
+#: grows; from there on shares alone decide, so that more text at the same rates changes nothing.
+WEIGHED, ENOUGH = 20, 1000
 #: Share of an abbreviation's stops that end paragraphs from which on it may end a sentence.
 FINAL_SHARE = 0.004
 #: Occurrences from which on a language's own evidence stands above that of all languages.
@@ -171,9 +174,12 @@ def _model(rows: list[dict], sums: dict[str, dict]) -> Model:
     for r in rows:
         lang, term, s = r["lang"], r["term"], sums[r["lang"]]
         if r["p"] >= 2 and 2 * r["p"] >= r["w"] and s["q"] < s["n"]:
-            ratio = 2 * (_log_binomial(r["p"], r["w"], 0.99) - _log_binomial(r["p"], r["w"], s["q"] / s["n"]))
+            n = min(r["w"], ENOUGH)
+            k = r["p"] * n / r["w"]
+            ratio = 2 * (_log_binomial(k, n, 0.99) - _log_binomial(k, n, s["q"] / s["n"]))
             letters = sum(c != "." for c in term)
-            scaled = ratio * math.exp(-letters) * (term.count(".") + 1) * letters ** -float(r["w"] - r["p"])
+            bare = (r["w"] - r["p"]) * min(1.0, WEIGHED / r["w"])
+            scaled = ratio * math.exp(-letters) * (term.count(".") + 1) * letters**-bare
             if scaled >= ABBREVIATION:
                 if r["p"] >= OWN:
                     m.abbreviations.setdefault(lang, {})[term] = r["e"] >= 2 and r["e"] >= FINAL_SHARE * r["p"]

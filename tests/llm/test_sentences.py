@@ -1,6 +1,6 @@
 import pytest
 
-from inkwell.llm.sentences import Model, Splitter, associated, learn, sentences
+from inkwell.llm.sentences import Model, Splitter, _model, associated, learn, sentences
 
 MODEL = Model(
     abbreviations={"*": {"dr": False, "p": False, "e.g": False, "etc": True, "p.m": True, "vgl": False}},
@@ -73,3 +73,15 @@ def test_learning_and_nulls(spark):
 
 def test_ratio_is_one_sided():
     assert associated(9, 10, 1, 100) > 7.88 and associated(1, 100, 9, 10) == 0 and associated(0, 0, 1, 2) == 0
+
+
+def test_same_abbreviations_in_more_text():
+    counts = {"etc": (4170, 4165, 379), "prof": (673, 672, 0), "incl": (582, 581, 0), "no": (887, 885, 0), "p": (1242, 1242, 0), "end": (900, 400, 90), "hall": (800, 500, 120)}
+
+    def learned(times):
+        none = dict.fromkeys("nqasbl", 0)
+        rows = [{"lang": "en", "term": t, **none, "w": w * times, "p": p * times, "e": e * times} for t, (w, p, e) in counts.items()]
+        return _model(rows, {"en": none | {"n": 1_000_000 * times, "q": 60_000 * times}}).abbreviations
+
+    expected = {"etc": True, "prof": False, "incl": False, "no": False, "p": False}
+    assert all(learned(times) == {"en": expected, "*": expected} for times in (1, 10, 100, 10_000))
