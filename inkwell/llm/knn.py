@@ -76,6 +76,16 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[fine], (x[fine] / norm[fine, None]).astype(np.float32)
 
 
+def divided(rows: int, probes: int, dim: int) -> tuple[int, int]:
+    """(finer, probes) for so many rows. The cells' number doubles with the rows; probes grow
+    with it, so that no smaller share of the true neighbours is found than in undivided cells."""
+    if rows <= FINER_FROM:
+        return 0, probes
+    padded = 1 << max(0, (dim - 1).bit_length())
+    finer = min(padded, 1 << max(0, math.ceil(math.log2(rows / FINER_FROM)) - 1))
+    return finer, math.ceil(probes * 1.36 * 1.33 ** finer.bit_length())
+
+
 class Cells:
     """The nearest cells of vectors in every table."""
 
@@ -94,13 +104,14 @@ class Cells:
         for t, (first, second) in enumerate(self.turns):
             z = y @ first
             z = np.concatenate([z, -z], 1)
-            c = min(self.probes, self.axes)
+            c = min(self.probes, self.per_table)
             if not self.finer:
                 near = np.argpartition(-z, c - 1, axis=1)[:, :c]
             else:
                 w = (y @ second)[:, : self.finer]
                 w = np.concatenate([w, -w], 1)
-                a = np.argpartition(-z, min(c, 12) - 1, axis=1)[:, : min(c, 12)]
+                n = max(min(c, self.axes, 12), -(-c // (2 * self.finer)))
+                a = np.argpartition(-z, n - 1, axis=1)[:, :n]
                 s = np.take_along_axis(z, a, 1)[:, :, None] + w[:, None, :]
                 code = a[:, :, None] * (2 * self.finer) + np.arange(2 * self.finer)
                 s, code = s.reshape(len(x), -1), code.reshape(len(x), -1)
@@ -224,7 +235,8 @@ def nearest(
 
     With the defaults 0.39 of all pairs share a cell on the test tables, which finds 0.92
     (20 thousand rows) to 0.95 (200 thousand) of the true ten; vectors of cosine 0.95 or
-    more are always found there. Fewer probes or finer cells cost recall.
+    more are always found there. Fewer probes cost recall; where cells are divided, more are
+    probed than `probes` says, to keep it.
     """
     spark = df.sparkSession
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
@@ -242,8 +254,8 @@ def nearest(
     if rows == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, rank int, cosine double")
     mean = np.array([got[i] for i in range(dim)]) / rows
-    finer = 0 if rows <= FINER_FROM else 1 << max(0, math.ceil(math.log2(rows / FINER_FROM)) - 1)
-    cells = Cells(mean, tables, probes + 4 * finer.bit_length(), finer, seed)
+    finer, probes = divided(rows, probes, dim)
+    cells = Cells(mean, tables, probes, finer, seed)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(cells.count, np.int64)

@@ -55,3 +55,25 @@ def test_finer_cells_for_many_rows(spark, monkeypatch):
     df = spark.createDataFrame([(int(i), v.astype("float32").tolist()) for i, v in zip(ids, x)], "seg_id long, vec array<float>")
     true, got = brute(x.astype(np.float32), ids, 10), found(nearest(df))
     assert np.mean([len(set(got.get(i, [])) & set(true[i])) / 10 for i in true]) > 0.9
+
+
+def test_finer_cells_lose_no_neighbours():
+    from inkwell.llm.knn import FINER_FROM, Cells, divided
+
+    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    queries = np.arange(0, 4000, 8)
+    true = np.argsort(-(x[queries] @ x.T), axis=1)[:, 1:11]
+
+    def share(finer, probes):
+        own = np.zeros((len(x), (cells := Cells(x.mean(0), 1, probes, finer, 11)).count), bool)
+        np.put_along_axis(own, cells.of(x), True, 1)
+        return (own[queries][:, None] & own[true]).any(2).mean()
+
+    whole = share(*divided(FINER_FROM, 7, 64))
+    for doublings in range(1, 8):
+        finer, probes = divided(FINER_FROM << doublings, 7, 64)
+        assert finer == 1 << (doublings - 1) and share(finer, probes) >= whole, (finer, probes)
+    assert divided(FINER_FROM << 12, 7, 64) == divided(FINER_FROM << 7, 7, 64)
+    cells = Cells(np.zeros(4), 1, 20, divided(FINER_FROM << 3, 7, 4)[0], 11)
+    assert cells.of(x[:9, :4]).shape == (9, 20) and cells.count == 8 * 8
