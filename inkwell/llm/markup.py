@@ -38,6 +38,15 @@ h1 h2 h3 h4 h5 h6 header hr html iframe li link main menu meta nav noscript ol o
 table tbody td template tfoot th thead title tr ul""".split()
 INLINE = """a abbr b big bdi bdo br button cite code data del dfn em font gallery i img input ins kbd label mark math nowiki
 q ref references s samp script small source span strike strong style sub sup textarea time tt u var video wbr""".split()
+#: What ends where another element of its kind begins: (elements that end, those it doesn't end beyond).
+_ROW, _PART = {"tr", "td", "th"}, {"thead", "tbody", "tfoot"}
+_LIST = {*BLOCKS} - {"li", "dt", "dd", "p", "div", "address"}
+ENDS = (
+    {"li": ({"li"}, _LIST | {"dt", "dd"}), "option": ({"option"}, {"select"}), "tr": (_ROW, {"table"})}
+    | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, _LIST | {"li"}))
+    | dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"}))
+    | dict.fromkeys(_PART, (_ROW | _PART, {"table"}))
+)
 TAG = re.compile(rf"</?({'|'.join(sorted(BLOCKS + INLINE, key=len, reverse=True))})(?=[\s/>])(?:\s[^<>]*|\s*)/?>", re.I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -189,6 +198,17 @@ class Converter:
     def _tree(self) -> Element:
         root = here = Element("#root", None)
         done = 0
+        opened: Counter = Counter()
+
+        def leave(e: Element) -> Element:
+            """Ends e and all that is open in it."""
+            at = here
+            while at is not e:
+                opened[at.name] -= 1
+                at = at.parent
+            opened[e.name] -= 1
+            return e.parent
+
         for m in TAG.finditer(self.text):
             self.pieces["html"] += 1
             here.parts.append(self.text[done : m.start()])
@@ -207,47 +227,63 @@ class Converter:
             elif name not in BLOCKS or name in ("link", "meta") or m.group().endswith("/>"):
                 continue
             elif not closing:
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd") and here.name == name:
-                    here = here.parent  # these end where the next of their kind begins
+                if name == "p" and here.name == name:
+                    here = leave(here)
+                ending, beyond = ENDS.get(name, ((), ()))
+                if any(opened[x] for x in ending):
+                    last, at = None, here
+                    while at.parent and at.name not in beyond:
+                        last = at if at.name in ending else last
+                        at = at.parent
+                    here = leave(last) if last else here
                 child = Element(name, here)
+                opened[name] += 1
                 here.parts.append(child)
                 here = child
             else:
-                at = here
-                while at.parent and at.name != name:
-                    at = at.parent
-                if at.parent:
-                    here = at.parent
+                if opened[name]:
+                    at = here
+                    while at.name != name:
+                        at = at.parent
+                    here = leave(at)
                 else:
                     here.parts.append("\n\n")
         here.parts.append(self.text[done:])
         return root
 
-    def _lay_out(self, e: Element) -> None:
-        """Texts between elements become leaves."""
-        out: list[str | Element | Leaf] = []
-        run: list[str] = []
+    def _lay_out(self, root: Element) -> None:
+        """Texts between elements become leaves; the tree may be of any depth."""
+        stack: list[tuple[Element, Iterator, list[str | Element | Leaf], list[str]]] = []
+
+        def enter(e: Element) -> None:
+            if e.name == "tr":
+                cells = ["".join(p for p in x.parts if isinstance(p, str)) if isinstance(x, Element) else "" for x in e.parts if isinstance(x, Element)]
+                nested = any(isinstance(p, Element) for x in e.parts if isinstance(x, Element) for p in x.parts)
+                if not nested:
+                    e.parts = [Leaf("row", "\t".join(self._inline(" ".join(c.split())) for c in cells))]
+                    return
+            stack.append((e, iter(e.parts), [], []))
 
-        def flush() -> None:
+        def flush(e: Element, out: list[str | Element | Leaf], run: list[str]) -> None:
             if run:
                 out.extend(self._leaves("".join(run), e.name))
                 run.clear()
 
-        if e.name == "tr":
-            cells = ["".join(p for p in x.parts if isinstance(p, str)) if isinstance(x, Element) else "" for x in e.parts if isinstance(x, Element)]
-            nested = any(isinstance(p, Element) for x in e.parts if isinstance(x, Element) for p in x.parts)
-            if not nested:
-                e.parts = [Leaf("row", "\t".join(self._inline(" ".join(c.split())) for c in cells))]
-                return
-        for p in e.parts:
-            if isinstance(p, str):
-                run.append(p)
+        enter(root)
+        while stack:
+            e, parts, out, run = stack[-1]
+            for p in parts:
+                if isinstance(p, str):
+                    run.append(p)
+                else:
+                    flush(e, out, run)
+                    out.append(p)
+                    enter(p)
+                    break
             else:
-                flush()
-                self._lay_out(p)
-                out.append(p)
-        flush()
-        e.parts = out
+                flush(e, out, run)
+                e.parts = out
+                stack.pop()
 
     def _leaves(self, text: str, container: str) -> Iterator[Leaf]:
         if container in ("h1", "h2", "h3", "h4", "h5", "h6", "title"):
@@ -349,31 +385,35 @@ class Converter:
         """Scores the tree and gives the leaves of the best container and its siblings."""
         spans: dict[int, tuple[int, int]] = {}
 
-        def weigh(e: Element) -> tuple[int, int]:
-            size = links = 0
-            for p in e.parts:
-                if isinstance(p, Leaf):
-                    depth, n = 0, 0
-                    for piece in re.split("([\x0e\x0f])", p.text):
-                        if piece in ("\x0e", "\x0f"):
-                            depth = int(piece == "\x0e")
-                        elif depth:
-                            n += len(piece)
-                    full = len(LINKED.sub("", p.text))
-                    size, links = size + full, links + n
-                    if p.kind in ("p", "item") and full:
-                        points = (1 + p.text.count(",") + p.text.count("、") + p.text.count("，") + min(full // 100, 3)) * (1 - n / full)
-                        up, level = e, 0
-                        while up:
-                            up.points += points / (1, 2)[level] if level < 2 else points / (level * 3)
-                            up, level = up.parent, level + 1
-                else:
-                    a, b = weigh(p)
-                    size, links = size + a, links + b
-            spans[id(e)] = (size, links)
-            return size, links
+        weighed: list[list] = [[root, iter(root.parts), 0, 0]]
+        while weighed:
+            e, parts, size, links = weighed[-1]
+            for p in parts:
+                if not isinstance(p, Leaf):
+                    weighed[-1][2:] = size, links
+                    weighed.append([p, iter(p.parts), 0, 0])
+                    break
+                depth, n = 0, 0
+                for piece in re.split("([\x0e\x0f])", p.text):
+                    if piece in ("\x0e", "\x0f"):
+                        depth = int(piece == "\x0e")
+                    elif depth:
+                        n += len(piece)
+                full = len(LINKED.sub("", p.text))
+                size, links = size + full, links + n
+                if p.kind in ("p", "item") and full:
+                    points = (1 + p.text.count(",") + p.text.count("、") + p.text.count("，") + min(full // 100, 3)) * (1 - n / full)
+                    up, level = e, 0
+                    while up:
+                        up.points += points / (1, 2)[level] if level < 2 else points / (level * 3)
+                        up, level = up.parent, level + 1
+            else:
+                spans[id(e)] = (size, links)
+                weighed.pop()
+                if weighed:
+                    weighed[-1][2] += size
+                    weighed[-1][3] += links
 
-        weigh(root)
         dense = lambda e: spans[id(e)][1] / max(1, spans[id(e)][0])
         best = root
         stack = [root]
@@ -395,14 +435,20 @@ class Converter:
             path.add(id(up))
             up = up.parent
 
-        def walk(e: Element, inside: bool) -> Iterator[Leaf]:
-            for p in e.parts:
-                if isinstance(p, Leaf):
-                    yield p
-                elif inside or id(p) in path or stays(p):
-                    yield from walk(p, inside or p is best and p is not root)
+        def walk() -> Iterator[Leaf]:
+            at = [(iter(root.parts), False)]
+            while at:
+                parts, inside = at[-1]
+                for p in parts:
+                    if isinstance(p, Leaf):
+                        yield p
+                    elif inside or id(p) in path or stays(p):
+                        at.append((iter(p.parts), inside or p is best and p is not root))
+                        break
+                else:
+                    at.pop()
 
-        for leaf in walk(root, False):
+        for leaf in walk():
             leaf.text = LINKED.sub("", HELD.sub(lambda m: self.held[int(m.group(1))][1], leaf.text))
             if leaf.text.strip():
                 yield leaf

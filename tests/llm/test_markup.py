@@ -55,3 +55,16 @@ def test_rows(spark):
     assert got[5].clean == "word " * 20000 + "c" and got[6].clean == "    open"
     assert not got[3].pieces and got[4].pieces == {"markdown": 1}
     assert clean(df.limit(0), "chunk_id").count() == 0
+
+
+def test_omitted_end_tags_and_any_depth():
+    rows = "".join(f"<tr><td>a{i}<td>b{i}" for i in range(5000))
+    assert convert(f"<table>{rows}</table>")[0] == "\n".join(f"a{i}\tb{i}" for i in range(5000))
+    terms = "".join(f"<dt>t{i}<dd><p>d{i}" for i in range(5000))
+    assert convert(f"<dl>{terms}</dl>")[0] == "\n\n".join(f"• t{i}\n\nd{i}" for i in range(5000))
+    options = "".join(f"<option>o{i}" for i in range(2000))
+    assert convert(f"<form><select>{options}</select></form>")[0] == "\n\n".join(f"o{i}" for i in range(2000))
+    assert convert("".join(f"<div>x{i}" for i in range(3000)))[0] == "\n\n".join(f"x{i}" for i in range(3000))
+    inner = "<table><tr><td>c<td>d<tr><td>e</table>"
+    assert convert(f"<table><tbody><tr><td>a<td>{inner}<tbody><tr><td>f</table>")[0] == "a\n\nc\td\ne\nf"
+    assert convert("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")[0] == "• a\n• b\n• c\n• d"
