@@ -128,6 +128,13 @@ class Converter:
 
         self.text = pattern.sub(one, self.text)
 
+    def _swap_all(self, name: str, pattern: re.Pattern, by) -> None:
+        """_swap() until nothing is left; every round must shorten the text."""
+        before = -1
+        while self.pieces[name] != before:
+            before = self.pieces[name]
+            self._swap(name, pattern, by)
+
     def run(self) -> list[Leaf]:
         linked = lambda m: f"\x0e{m.group(1) or ''}\x0f"
         inner = lambda m: next((g for g in m.groups() if g is not None), "")
@@ -149,11 +156,7 @@ class Converter:
             self._swap("latex", TEX_RANGE, lambda m: "\n\n")
             self._swap("latex", TEX_ITEM, lambda m: "\x05")
             self._swap("latex", TEX_HEAD, lambda m: f"\n\n\x04{m.group(2)}\n\n")
-            for _ in range(4):  # commands within commands
-                before = self.pieces["latex"]
-                self._swap("latex", TEX_COMMAND, lambda m: m.group(1))
-                if self.pieces["latex"] == before:
-                    break
+            self._swap_all("latex", TEX_COMMAND, lambda m: m.group(1))  # commands within commands
         if "[" in t:
             self._swap("markdown", IMAGE, lambda m: m.group(1))
             self._swap("wiki", WIKI_LINK, linked)
@@ -163,11 +166,7 @@ class Converter:
             self._swap("markdown", REFERENCE, linked)
             self._swap("markdown", FOOTNOTE, lambda m: "")
         if "{{" in t:
-            for _ in range(4):
-                before = self.pieces["wiki"]
-                self._swap("wiki", TEMPLATE, self._template)
-                if self.pieces["wiki"] == before:
-                    break
+            self._swap_all("wiki", TEMPLATE, self._template)
         root = self._tree()
         self._lay_out(root)
         return [leaf for leaf in self._kept(root)]

@@ -68,3 +68,9 @@ def test_omitted_end_tags_and_any_depth():
     inner = "<table><tr><td>c<td>d<tr><td>e</table>"
     assert convert(f"<table><tbody><tr><td>a<td>{inner}<tbody><tr><td>f</table>")[0] == "a\n\nc\td\ne\nf"
     assert convert("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")[0] == "• a\n• b\n• c\n• d"
+
+
+def test_nesting_of_any_depth_leaves_no_residue():
+    for depth in (4, 7, 300):
+        assert convert("A " + "\\emph{" * depth + "x" + "}" * depth + " b")[0] == "A x b"
+        assert convert("A " + "{{t|" * depth + "v" + "}}" * depth + " b")[0] == "A v b"
