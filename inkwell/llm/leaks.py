@@ -80,28 +80,34 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _TABLES[0]
 
 
-def _without(text: str, opener: str, closer: str, most: int = 200) -> str:
-    """Text without what stands from opener to closer, if that is short and has no blank line."""
-    parts = text.split(opener)
-    if len(parts) == 1:
-        return text
+#: From this many characters on a target or tag must look like one, or be left as words.
+LONG = 200
+LONG_TARGET = re.compile(r"\S+(?:[ \t]+[\"'(][^\n]*)?")
+
+
+def _without_targets(text: str) -> str:
+    """Text without link targets; one ends in its paragraph, and a long one is a word, and a title."""
+    parts = text.split("](")
     out = [parts[0]]
     for p in parts[1:]:
-        j = p.find(closer, 0, most)
-        out.append(opener + p if j < 0 or "\n\n" in p[:j] else p[j + len(closer) :])
+        j = p.find(")")
+        target = j >= 0 and ("\n\n" not in p[:j] if j < LONG else LONG_TARGET.fullmatch(p, 0, j))
+        out.append(p[j + 1 :] if target else "](" + p)
     return "".join(out)
 
 
 def plain(text: str) -> str:
     """Text with markup that holds words of its own (link targets, tags, task boxes) removed."""
     if "](" in text:
-        text = _without(text, "](", ")")
+        text = _without_targets(text)
     if "<" in text:
         parts = text.split("<")
         out = [parts[0]]
         for p in parts[1:]:
-            j = p.find(">", 0, 200)
+            j = p.find(">")
             tag = j > 0 and (p[0].isalpha() or p[0] in "/!")
+            if tag and j >= LONG:  # attributes, or a comment
+                tag = "\n\n" not in p[:j] and (p[0] == "!" or "=" in p[:j])
             out.append(p[j + 1 :] if tag else " " + p)
         text = "".join(out)
     for box in ("- [x]", "- [X]", "* [x]", "+ [x]", "- [ ]"):

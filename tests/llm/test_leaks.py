@@ -77,3 +77,15 @@ def test_reparameterised_question(spark):
     assert got[2].covered < got[2].words
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
     assert leaks(d, i, most_sent=4).count() == 2  # in blocks
+
+
+def test_long_targets_and_tags_hold_no_words():
+    from inkwell.llm.leaks import plain
+
+    url, tag = "https://host/" + "part/" * 200, "<a " + " ".join(f'data-x{i}="value {i}"' for i in range(60)) + ">"
+    assert plain(f"see [the page]({url}) now") == "see [the page now"
+    assert plain(f'see [the page]({url} "A title") now') == "see [the page now"
+    assert plain(f"see {tag}the page</a> now") == "see the page now"
+    prose = "some words that go on " * 20
+    assert plain(f"open [x]({prose}) end").split() == f"open [x]({prose}) end".split()
+    assert plain(f"a <b {prose}\n\nc=1> end").split() == f"a b {prose} c=1> end".split()
