@@ -50,9 +50,11 @@ def index_string(c: Column) -> Column:
     return F.concat_ws(" ", tokens(c))
 
 
-def relaxed_tokens(c: Column) -> Column:
-    """The distinct tokens of a relaxed query; null if that would be no query."""
-    own = F.slice(F.array_distinct(tokens(c)), 1, RELAXED_MOST)
+def relaxed_tokens(c: Column, most: int | None = RELAXED_MOST) -> Column:
+    """The distinct tokens of a relaxed query, the first `most` (None: all); null if that would
+    be no query."""
+    own = F.array_distinct(tokens(c))
+    own = own if most is None else F.slice(own, 1, most)
     return F.when(F.size(own) >= RELAXED_LEAST, own)
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import tokens
+from inkwell.functions.text import RELAXED_MOST, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -43,12 +43,12 @@ def build(records: DataFrame, id_col: str, text_col: str) -> Index:
     return Index(postings, tok.select("id", F.size("toks").alias("dl")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def query_terms(queries: DataFrame, relaxed: bool = False) -> DataFrame:
+def query_terms(queries: DataFrame, relaxed: bool = False, most: int | None = RELAXED_MOST) -> DataFrame:
     """(query_id, term, mult, wanted) of queries (query_id, query): how often the query has the
-    term, and how many different terms it has."""
+    term, and how many different terms it has. most: terms of a relaxed query (None: all)."""
     from inkwell.functions.text import relaxed_tokens
 
-    toks = relaxed_tokens(F.col("query")) if relaxed else tokens(F.col("query"))
+    toks = relaxed_tokens(F.col("query"), most) if relaxed else tokens(F.col("query"))
     each = queries.select("query_id", F.explode(toks).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("mult"))
     return each.withColumn("wanted", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
 

@@ -70,3 +70,19 @@ def test_aliases(tmp_path):
     assert load_aliases(str(tmp_path)) == [["a", "b"]]
     (tmp_path / ".inkwell/aliases.json").write_text("{")
     assert load_aliases(str(tmp_path)) == []
+
+
+def test_batch_queries_keep_all_terms(spark):
+    from inkwell.operators.bm25 import query_terms
+
+    queries = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(90)))], "query_id int, query string")
+    assert query_terms(queries, relaxed=True, most=None).count() == 90 and query_terms(queries, relaxed=True).count() == 32
+
+
+def test_registered_batch_uses_whole_items(spark, tmp_path):
+    from inkwell import catalogue
+
+    text = " ".join(f"word{i}" for i in range(90))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    spark.createDataFrame([(5, 1, 0, "about word80 only")], "chunk_id long, file_id long, pos int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    assert catalogue.QUERIES["bm25_batch_topk"](spark, str(tmp_path)).count() == 1
