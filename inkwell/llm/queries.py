@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import encode_corpus
 from inkwell.llm.fusion import HIT_SCORES, fuse, in_front
-from inkwell.llm.knn import close_pairs, nearest
+from inkwell.llm.knn import close_pairs, nearest, reranked
 from inkwell.llm.leaks import leaked, leaks
 from inkwell.llm.markup import clean
 from inkwell.llm.sentences import sentences
@@ -18,11 +18,14 @@ from inkwell.sources.tables import once, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return close_pairs(nearest(table(spark, folder, "segments"))).toDF("seg_id_a", "seg_id_b")
+    rows = table(spark, folder, "segments")
+    return close_pairs(nearest(rows), rows).toDF("seg_id_a", "seg_id_b")
 
 
 def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(table(spark, folder, "segments")).withColumnsRenamed({"id": "seg_id"})
+    """The ten nearest of every segment, reranked by the vectors as given."""
+    rows = table(spark, folder, "segments")
+    return reranked(nearest(rows), rows).withColumnsRenamed({"id": "seg_id"})
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 
-from inkwell.llm.knn import close_pairs, nearest
+from inkwell.llm import knn
+from inkwell.llm.knn import STEPS, Best, Cells, Tree, Vectors, close_pairs, exact, meet, nearest, reranked, solve
 
 
 def brute(x, ids, k):
@@ -17,7 +19,12 @@ def found(df):
     return out
 
 
-def test_recall_and_cut_cells(spark):
+def steps(x):
+    return np.rint(x / np.linalg.norm(x, axis=1)[:, None] * STEPS).astype("<i2")
+
+
+@pytest.mark.parametrize("most", [2_000_000, 250, 100])
+def test_recall_with_divided_and_cut_cells(spark, most):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(40, 64))
     x = centre[rng.integers(0, 40, 1500)] + 0.9 * rng.normal(size=(1500, 64))
@@ -25,10 +32,9 @@ def test_recall_and_cut_cells(spark):
     ids = np.arange(1500) * 3 + 2**33
     df = spark.createDataFrame([(int(i), v.astype("float32").tolist(), 1) for i, v in zip(ids, x)], "seg_id long, vec array<float>, id int").repartition(4)
     true = brute(x.astype(np.float32), ids, 10)
-    for cell_rows in (65536, 100):
-        got = found(nearest(df, cell_rows=cell_rows))
-        recall = np.mean([len(set(got[i]) & set(true[i])) / 10 for i in true])
-        assert len(got) == 1500 and recall > 0.9, recall
+    got = found(nearest(df, most=most))
+    recall = np.mean([len(set(got[i]) & set(true[i])) / 10 for i in true])
+    assert len(got) == 1500 and recall > 0.9, recall
 
 
 def test_unusable_vectors_copies_and_small_tables(spark):
@@ -40,40 +46,88 @@ def test_unusable_vectors_copies_and_small_tables(spark):
     df = spark.createDataFrame(rows, "seg_id long, vec array<float>")
     out = nearest(df)
     assert found(out)[1] == [2] + ([8] if 8 in found(out)[1] else [])
-    assert sorted(map(tuple, close_pairs(out).collect())) == [(1, 2)]
+    assert sorted(map(tuple, close_pairs(out, df).collect())) == [(1, 2)]
     assert nearest(df.limit(0)).count() == 0
     assert nearest(df.where("seg_id = 3")).count() == 0
-
-
-def test_finer_cells_for_many_rows(spark, monkeypatch):
-    from inkwell.llm import knn
-
-    monkeypatch.setattr(knn, "FINER_FROM", 300)
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(25, 64))[rng.integers(0, 25, 900)] + 0.5 * rng.normal(size=(900, 64))
-    ids = np.arange(900)
-    df = spark.createDataFrame([(int(i), v.astype("float32").tolist()) for i, v in zip(ids, x)], "seg_id long, vec array<float>")
-    true, got = brute(x.astype(np.float32), ids, 10), found(nearest(df))
-    assert np.mean([len(set(got.get(i, [])) & set(true[i])) / 10 for i in true]) > 0.9
-
-
-def test_finer_cells_lose_no_neighbours():
-    from inkwell.llm.knn import FINER_FROM, Cells, divided
-
-    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    queries = np.arange(0, 4000, 8)
-    true = np.argsort(-(x[queries] @ x.T), axis=1)[:, 1:11]
-
-    def share(finer, probes):
-        own = np.zeros((len(x), (cells := Cells(x.mean(0), 1, probes, finer, 11)).count), bool)
-        np.put_along_axis(own, cells.of(x), True, 1)
-        return (own[queries][:, None] & own[true]).any(2).mean()
-
-    whole = share(*divided(FINER_FROM, 7, 64))
-    for doublings in range(1, 8):
-        finer, probes = divided(FINER_FROM << doublings, 7, 64)
-        assert finer == 1 << (doublings - 1) and share(finer, probes) >= whole, (finer, probes)
-    assert divided(FINER_FROM << 12, 7, 64) == divided(FINER_FROM << 7, 7, 64)
-    cells = Cells(np.zeros(4), 1, 20, divided(FINER_FROM << 3, 7, 4)[0], 11)
-    assert cells.of(x[:9, :4]).shape == (9, 20) and cells.count == 8 * 8
+    assert close_pairs(nearest(df.limit(0)), df).count() == 0
+
+
+def test_equal_vectors_under_many_ids(spark):
+    """A third of the rows have one vector: each is the nearest of the others, smaller ids first."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 64))
+    x[::3] = x[0]
+    x[1] = x[0] + 0.05 * rng.normal(size=64)
+    df = spark.createDataFrame([(i, v.astype("float32").tolist()) for i, v in enumerate(x)], "seg_id long, vec array<float>").repartition(3)
+    for most in (2_000_000, 50):
+        got = found(nearest(df, most=most))
+        assert got[0] == [3 * j for j in range(1, 11)]
+        assert got[300] == [3 * j for j in range(10)]
+        assert got[1] == [3 * j for j in range(10)]
+
+
+def test_pairs_at_the_bound_are_decided_by_the_vectors_as_given(spark):
+    """Cosines within a millionth of 0.95, on both sides, which 16-bit steps can't tell."""
+    a = np.zeros((8, 64))
+    a[:, 0] = 1.0
+    b = np.zeros((8, 64))
+    for j, d in enumerate((-3e-6, -1e-6, -4e-7, 4e-7, 1e-6, 3e-6, -1e-3, 1e-3)):
+        b[j, 0], b[j, j + 1] = 0.95 + d, np.sqrt(1 - (0.95 + d) ** 2)
+    x = np.concatenate([a[:1], b]).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seg_id long, vec array<float>")
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    s = unit @ unit.T
+    true = sorted((i, j) for i in range(9) for j in range(i + 1, 9) if s[i, j] >= 0.95)
+    assert sorted(map(tuple, close_pairs(nearest(df), df).collect())) == true
+    again = reranked(nearest(df), df).collect()
+    assert all(abs(r.cosine - s[r.id, r.neighbour]) < 1e-12 for r in again) and exact(nearest(df), df).count() == len(again)
+
+
+@pytest.mark.parametrize("count", [2, 20, 128, 129, 300, 4096, 8192, 16384, 40_000])
+def test_cells_are_numbered_by_axes(count):
+    """Every cell number stands for one pair of axes, whatever the number of cells."""
+    rng = np.random.default_rng(4)
+    cells = Cells(rng.normal(size=64), count, 3)
+    x = rng.normal(size=(200, 64)).astype(np.float32)
+    y = x - cells.centre
+    s = np.concatenate([y @ cells.first, -(y @ cells.first)], 1)
+    if cells.second is not None:
+        w = np.concatenate([y @ cells.second, -(y @ cells.second)], 1)
+        s = (s[:, :, None] + w[:, None, :]).reshape(len(x), -1)
+    assert s.shape[1] == cells.count and min(count, 16384) * 0.9 <= cells.count <= max(2, count * 1.1)
+    near = cells.of(x, 5)
+    best = np.sort(s, 1)[:, ::-1][:, : near.shape[1]]
+    assert np.allclose(np.take_along_axis(s, near, 1), best, atol=1e-4)
+
+
+def test_fine_tables_and_crowds(monkeypatch):
+    """solve() with many fine cells, a crowd among the vectors, against brute force."""
+    monkeypatch.setattr(knn, "WORK", 205)
+    monkeypatch.setattr(knn, "WORK_AT", 500)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))[rng.integers(0, 300, 6000)] + 0.7 * rng.normal(size=(6000, 64))
+    x[2000:4000] = x[0] + 0.01 * rng.normal(size=(2000, 64))
+    q, rows = Vectors(steps(x)), np.arange(6000)
+    a, b = Best(6000, 10), Best(6000, 10)
+    solve(q, rows, a, 2, 12, 2, 1)
+    meet(q, rows, rows, b)
+    hits = [len(set((a.kept[i] & knn.LOW).tolist()) & set((b.kept[i] & knn.LOW).tolist())) / 10 for i in range(6000)]
+    assert np.mean(hits[2000:4000]) > 0.85 and np.mean(hits) > 0.85, (np.mean(hits[2000:4000]), np.mean(hits))
+
+
+def test_tree_of_cells():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 64)).astype(np.float32)
+    tree = Tree(Cells(np.zeros(64), 16, 1), 3)
+    before = tree.of(x)
+    tree.divide(5, Cells(np.zeros(64), 8, 2), 2)
+    row, leaf = tree.of(x)
+    inside = set(before[0][before[1] == 5].tolist())
+    assert tree.leaves == 16 + 7 and set(row[(leaf == 5) | (leaf >= 16)].tolist()) == inside
+    assert len(set(zip(row.tolist(), leaf.tolist()))) == len(row) == 1500 + len(inside)
+
+
+def test_hash_clashes_do_not_join_vectors(monkeypatch):
+    q = np.array([[1, 2], [1, 2], [3, 4]], "<i2")
+    first, number = knn.classes(q)
+    assert number[0] == number[1] != number[2] and len(first) == 2
