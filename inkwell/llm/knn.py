@@ -52,7 +52,7 @@ DIVIDED = 5
 #: Others that a vector meets in a cell of 11,000, and how that grows with the cell.
 WORK, WORK_AT, WORK_GROWS = 4_500, 11_000, 0.3
 #: Queries multiplied at once, products held at most, columns of a group, rows hashed at once.
-STRIPE, STRIPE_CELLS, WIDE, HASHED = 256, 16_000_000, 32, 16_384
+STRIPE, STRIPE_CELLS, WIDE, HASHED = 256, 16_000_000, 8, 16_384
 STEPS = 32_767.0
 #: Nothing, where a packed (distance, place) is expected; steps of a distance.
 NOTHING, FINE = np.iinfo(np.int64).max, float(1 << 30)
