@@ -87,7 +87,7 @@ PERIODS = [
     (("去年", "昨年", "last year"), "year", 1, True),
     (("最近", "recently", "このごろ"), "recent", 7, False),
 ]
-# Phrases for task states; a later hit wins.
+# Phrases for task states; the first list with a hit decides.
 TASKS = [(("未完了", "未対応", "やり残し", "todo", "to-do"), "todo"), (("完了済", "対応済", "済みのタスク", "done のタスク"), "done")]
 # Fixed value: "the last N days" in Japanese and English.
 DAYS = re.compile(r"(?:過去|直近)?\s*(\d+)\s*(?:日(?:以内|間|前)?)|last\s+(\d+)\s+days?", re.I)
@@ -162,7 +162,7 @@ def parse(raw: str, clock: Clock) -> Query:
 
 def plan(raw: str, clock: Clock) -> Query:
     """parse() after plain words for dates and tasks were understood; written fields go first."""
-    rest, after, before, task = raw, None, None, None
+    rest, after, before = raw, None, None
     for phrases, unit, back, ends in PERIODS:
         phrase = next((p for p in phrases if p in rest), None)
         if phrase is None:
@@ -175,9 +175,7 @@ def plan(raw: str, clock: Clock) -> Query:
     if m := DAYS.search(rest):
         rest = rest[: m.start()] + " " + rest[m.end() :]
         after = (clock.now - timedelta(days=int(m.group(1) or m.group(2)))).timestamp() if after is None else after
-    for phrases, state in TASKS:
-        if any(p in rest for p in phrases):
-            task = state
+    task = next((state for phrases, state in TASKS if any(p in rest for p in phrases)), None)
     q = parse(rest, clock)
     f = q.filters
     f = replace(f, after=after if f.after is None else f.after, before=before if f.before is None else f.before, task=f.task or task)

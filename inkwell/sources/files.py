@@ -42,7 +42,7 @@ def walk(root: str, most_depth: int = MOST_DEPTH) -> Iterator[str]:
     for folder, names, files in os.walk(root):
         rel = os.path.relpath(folder, root)
         depth = 0 if rel == "." else rel.count(os.sep) + 1
-        names[:] = sorted(n for n in names if not n.startswith(".") and n not in IGNORED) if depth < most_depth else []
+        names[:] = sorted(n for n in names if not n.startswith(".") and n not in IGNORED) if depth + 1 < most_depth else []
         for f in sorted(files):
             p = f if rel == "." else f"{rel}/{f}".replace(os.sep, "/")
             if wanted(p):

@@ -39,6 +39,12 @@ def test_tasks_in_fields_and_words():
     assert plan("todo is:done", CLOCK).filters.task == "done" and plan("やること", CLOCK).filters.task is None
 
 
+def test_the_first_list_of_task_words_decides():
+    assert plan("todo リストの 完了済 を見る", CLOCK).filters.task == "todo"
+    assert plan("完了済の報告", CLOCK).filters.task == "done"
+    assert plan("未完了と対応済", CLOCK).filters.task == "todo"
+
+
 def test_periods():
     f = lambda s: (plan(s, CLOCK).filters.after, plan(s, CLOCK).filters.before, plan(s, CLOCK).text)
     assert f("先月 議事録") == (at(2026, 5, 1), at(2026, 6, 1), "議事録")

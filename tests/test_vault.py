@@ -116,3 +116,32 @@ def test_bundle():
     out = bundle("api/main.yaml", files)
     assert out["paths"]["x"] == {"$ref": "#/components/x-bundled/A"} and out["paths"]["y"] == {"$ref": "#/own"} and out["paths"]["w"] == {"$ref": "none.yaml#/q"}
     assert out["components"]["x-bundled"] == {"A": {"b": {"$ref": "#/components/x-bundled/B"}}, "B": {"a": {"$ref": "#/components/x-bundled/A"}, "m": {"$ref": "#/own"}}}
+
+
+def test_scan_ends_below_the_twelfth_folder(tmp_path):
+    from inkwell.sources.files import walk
+
+    folder = tmp_path
+    for n in range(14):
+        (folder / f"f{n}.md").write_text("x")
+        folder = folder / "d"
+        folder.mkdir()
+    assert [p.rsplit("/", 1)[-1] for p in walk(str(tmp_path))] == sorted((f"f{n}.md" for n in range(12)), key=lambda f: int(f[1:-3]))
+    assert list(walk(str(tmp_path), 1)) == ["f0.md"]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from inkwell.sources.tables import shared_dir
+
+    class Away:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://there:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Away)
+    assert shared_dir(spark) != shared_dir(spark)
