@@ -9,7 +9,8 @@ by a score is a sum over all items worse by it, a prefix sum in the order of tha
 
 Queries of up to `most` items are iterated whole, many in a task. Larger ones (a query may
 hold a third of all rows) are iterated as tables: values are cut into ranges, counts and
-masses summed over ranges first, so no task ever holds a query.
+masses summed over ranges first, so no task ever holds a query. Both stop by the same rule,
+when a round moves less than CLOSE of all mass or after ROUNDS, and give the same places.
 
 Defined results: an item without a score isn't picked or reached by it; NaN counts as null;
 items without any score are last; equal shares are ordered by item id; copies of a row
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.sources.tables import shared_dir
+from inkwell.sources.tables import remove, shared_dir
 
 DAMPING, ROUNDS, CLOSE = 0.9, 200, 1e-12
-#: Items of a query that one task iterates; ranges of a larger query's values; rounds there.
-MOST, RANGES, TABLE_ROUNDS = 200_000, 512, 60
+#: Decimals to which shares, times the number of items, are told apart.
+EQUAL = 8
+#: Items of a query that one task iterates; ranges of a larger query's values.
+MOST, RANGES = 200_000, 512
 
 
 def walk(scores: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +73,7 @@ def walk(scores: np.ndarray, damping: float = DAMPING) -> tuple[np.ndarray, np.n
 
 def ranked(p: np.ndarray, items: np.ndarray, any_score: np.ndarray) -> np.ndarray:
     """Places from 1: by share, larger first, items without any score last, then by id."""
-    order = np.lexsort((items, -np.round(p, 12), ~any_score))
+    order = np.lexsort((items, -np.round(p * len(p), EQUAL), ~any_score))
     place = np.empty(len(p), np.int64)
     place[order] = np.arange(1, len(p) + 1)
     return place
@@ -93,7 +96,9 @@ def fuse(
     cols = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") * (1.0 if up else -1.0)).alias(c) for c, up in scores.items()]
     base = hits.select(F.col(query_col).cast("bigint").alias("q"), F.col(item_col).cast("bigint").alias("i"), *cols).where("q is not null and i is not null")
     base = base.groupBy("q", "i").agg(*(F.max(c).alias(c) for c in names))
-    large = [r.q for r in base.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("q").collect()]  # fewer than rows / most
+    # Fewer than rows / most queries, eight bytes each: small beside the rows at any size.
+    large = base.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("q")
+    any_large = not large.isEmpty()
     schema = "q bigint, i bigint, place bigint, share double, " + ", ".join(f"better_{c} bigint" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +131,10 @@ def fuse(
         if held:
             yield finish(held)
 
-    small = base.where(~F.col("q").isin(large)) if large else base
+    small = base.join(F.broadcast(large), "q", "left_anti") if any_large else base
     out = small.repartition("q").sortWithinPartitions("q").mapInArrow(run, schema)
-    if large:
-        out = out.unionByName(_large(base.where(F.col("q").isin(large)), names, damping))
+    if any_large:
+        out = out.unionByName(_large(base.join(F.broadcast(large), "q", "left_semi"), names, damping))
     return out.withColumnsRenamed({"q": query_col, "i": item_col})
 
 
@@ -145,7 +150,8 @@ def _prefixed(totals: DataFrame, group: list[str], part: str, order: str, value:
 
 
 def _large(base: DataFrame, names: list[str], damping: float) -> DataFrame:
-    """fuse() of queries too large for a task, by tables; the same chain, fewer rounds."""
+    """fuse() of queries too large for a task, by tables; the same chain and stopping rule, the
+    latter for all of them together (further rounds move a settled one by less than CLOSE)."""
     spark, folder = base.sparkSession, shared_dir(base.sparkSession)
 
     def laid(df: DataFrame, name: str) -> DataFrame:
@@ -163,7 +169,7 @@ def _large(base: DataFrame, names: list[str], damping: float) -> DataFrame:
     sizes = base.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("size"))
     kinds = items.groupBy("q", "i").agg(F.count(F.lit(1)).alias("kinds"))
     state = laid(base.select("q", "i").join(F.broadcast(sizes), "q").join(kinds, ["q", "i"], "left").withColumn("p", 1 / F.col("size")), "state-0")
-    for n in range(1, TABLE_ROUNDS + 1):
+    for n in range(1, ROUNDS + 1):
         mass = items.join(state.select("q", "i", (F.col("p") / F.col("kinds")).alias("m")), ["q", "i"])
         flow = F.when(F.col("better") > 0, F.col("m") / F.col("better")).otherwise(0.0)
         by_value = mass.groupBy("q", "s", "v", "part").agg(F.sum(flow).alias("flow"))
@@ -175,12 +181,12 @@ def _large(base: DataFrame, names: list[str], damping: float) -> DataFrame:
         new = laid(new, f"state-{n}")
         moved = new.groupBy("q").agg(F.sum(F.abs(F.col("new") - F.col("p"))).alias("d")).agg(F.max("d")).first()[0]
         state = new.select("q", "i", "size", "kinds", F.col("new").alias("p"))
+        remove(spark, f"{folder}/state-{n - 1}")
         if moved < CLOSE:
             break
     better = items.groupBy("q", "i").pivot("s", list(range(len(names)))).agg(F.first("better"))
-    last = F.col("kinds").isNull().cast("int")
     # Places are counts of what stands before, by the same ranges as above.
-    keyed = state.withColumn("key", -F.round("p", 12) + 4 * last)
+    keyed = state.withColumn("key", F.when(F.col("kinds").isNull(), 1e12).otherwise(-F.round(F.col("p") * F.col("size"), EQUAL)))
     edges = keyed.groupBy("q").agg(F.percentile_approx("key", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10 * RANGES).alias("cuts"))
     keyed = keyed.join(F.broadcast(edges), "q").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("key")))).drop("cuts")
     by_key = _prefixed(keyed.groupBy("q", "part", "key").agg(F.count(F.lit(1)).cast("double").alias("n")), ["q"], "part", "key", "n")

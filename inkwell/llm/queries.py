@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,10 +58,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The score of every term of every chunk and title."""
+    """The score of every term of every chunk and title, to nine decimals."""
     a = distinctive(table(spark, folder, "chunks"), "chunk_id", "text")
     b = distinctive(table(spark, folder, "files"), "file_id", "title")
-    return a.select(F.lit("chunks").alias("tab"), "*").unionByName(b.select(F.lit("files").alias("tab"), "*"))
+    both = a.select(F.lit("chunks").alias("tab"), "*").unionByName(b.select(F.lit("files").alias("tab"), "*"))
+    return both.withColumn("score", F.round("score", 9))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +130,38 @@ terms as (
     then list_transform(range(1, length(run)), lambda i: substring(run, i, 2)) else [run] end) as term from runs)
 """
 
+
+
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatible form (NFKC) is one other character, and those forms: with
+    them DuckDB's nfc_normalize gives NFKC, but for forms of several characters."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b and b != "'"]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_FREQUENCIES = rf"""
+with texts as (select distinct 'chunks' as tab, chunk_id as row_id, text from chunks),
+{_TERMS},
+tf as (select row_id, term, count(*) as n from terms group by all),
+c as (select 'chunks' as tab, term, sum(n)::bigint as cf, count(*) as df, (select count(distinct chunk_id) from chunks) * 0.35 as most from tf group by term),
+v as (select file_id, trim(regexp_replace(lower(nfc_normalize(translate(value, '{_compatible()[0]}', '{_compatible()[1]}'))), '\s+', ' ', 'g')) as term from (select distinct * from frontmatter)),
+f as (select 'frontmatter' as tab, term, count(*) as cf, count(distinct file_id) as df, (select count(distinct file_id) from frontmatter) * 0.10 as most from v where term <> '' group by term),
+b as (select tab, term, cf, df, case when df = 1 then 'rare' when df > most then 'common' end as band from (from c union all by name from f))
+"""
+
 SQL: dict[str, str] = {
+    "p4_found": _FREQUENCIES + "select tab, term, band from b where band is not null",
+    "p4_frequencies": _FREQUENCIES + "select tab, term, cf, df, band from b",
+    "p5_scores": f"""
+with texts as (select distinct 'chunks' as tab, chunk_id as row_id, text from chunks union all select distinct 'files', file_id, title from files),
+{_TERMS},
+tf as (select tab, row_id, term, count(*) as tf from terms group by all),
+n as (select tab, count(distinct row_id)::double as n from texts group by tab),
+s as (select tab, term, sum(tf)::bigint as cf, count(*) as df from tf group by all)
+select tf.tab, row_id, tf.term, tf, cf, df, round(tf * (-log2(df / n) + log2(1 - exp(-cf / n))), 9) as score
+from tf join s on tf.tab = s.tab and tf.term = s.term join n on tf.tab = n.tab
+""",
     "p5_found": f"""
 with texts as (select distinct 'chunks' as tab, chunk_id as row_id, text from chunks union all select distinct 'files', file_id, title from files),
 {_TERMS},

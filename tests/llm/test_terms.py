@@ -2,8 +2,10 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from inkwell.llm.terms import BITS, distinctive, frequencies, radix_leaves, term_frequencies, terms, value_form, value_frequencies
+from inkwell.llm.terms import BITS, distinctive, leaf_counts, radix_leaves, term_frequencies, terms, value_form, value_frequencies
 
 
 def test_terms():
@@ -46,8 +48,8 @@ def test_frequencies_and_bands(spark):
     cf, df = brute(docs)
     n = len(docs)
     band = lambda t: "rare" if df[t] == 1 else "common" if df[t] > 0.35 * n else None
-    for leaf_rows in (2_000_000, 7):  # the second cuts nearly every radix
-        got = {(r.term, r.cf, r.df, r.band) for r in term_frequencies(frame, "chunk_id", "text", leaf_rows=leaf_rows).collect()}
+    for leaf_bytes in (1 << 27, 300):  # the second cuts nearly every radix
+        got = {(r.term, r.cf, r.df, r.band) for r in term_frequencies(frame, "chunk_id", "text", leaf_bytes=leaf_bytes).collect()}
         assert got == {(t, cf[t], df[t], band(t)) for t in cf}
     assert term_frequencies(frame.limit(0), "chunk_id", "text").count() == 0
 
@@ -71,3 +73,40 @@ def test_distinctive(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     few = distinctive(frame, "chunk_id", "text", least_tf=3)
     assert {(r.row_id, r.term) for r in few.collect()} == {(i, t) for i, x in docs.items() for t, k in collections.Counter(terms(x)).items() if k >= 3}
+
+
+def test_score_by_hand(spark):
+    df = spark.createDataFrame([(1, "x x x"), (2, "y"), (3, "y"), (4, "")], "chunk_id long, text string")
+    # x: idf 2, expected -log2(1 - e^-0.75) = 0.92239, times its three occurrences.
+    got = {(r.row_id, r.term): (r.tf, r.cf, r.df, r.score) for r in distinctive(df, "chunk_id", "text").collect()}
+    assert got[1, "x"][:3] == (3, 3, 1) and got[1, "x"][3] == pytest.approx(3 * (2 - 0.92239), abs=1e-4)
+    assert got[2, "y"][:3] == (1, 2, 2) and got[2, "y"][3] == pytest.approx(1 + math.log2(1 - math.exp(-0.5)))
+
+
+def test_hot_terms_meet_their_statistics(spark):
+    """One term makes up most pairs; every pair keeps its numbers."""
+    rows = [(i, f"hot only{i}" if i % 3 else "hot") for i in range(400)]
+    got = distinctive(spark.createDataFrame(rows, "chunk_id long, text string"), "chunk_id", "text").collect()
+    assert sum(r.term == "hot" for r in got) == 400 and all(r.df == 400 for r in got if r.term == "hot")
+    assert sum(r.df == 1 for r in got) == len(got) - 400
+
+
+def test_a_partition_beyond_the_memory_limit_spills(tmp_path):
+    """Counts of half a million long terms within 24 MB: DuckDB must write to the task's folder."""
+    n, seen = 500_000, []
+
+    def batches():
+        for part in range(10):
+            keys = [f"{'term' * 12}{i:08d}" for i in range(part % 5, n, 5)]
+            seen.append(sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file()))
+            ones = pa.array(np.ones(len(keys), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), ones, ones], names=["term", "cf", "df"])
+
+    total = rows = 0
+    for b in leaf_counts(batches(), "24MB", str(tmp_path)):
+        rows += b.num_rows
+        total += sum(b.column(1).to_pylist())
+    assert (rows, total) == (n, 2 * n) and max(seen) > 1_000_000, seen
+    assert not list(tmp_path.iterdir())
+    with pytest.raises(Exception, match="(?i)memory"):
+        list(leaf_counts(batches(), "24MB", ""))
