@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 QUERIES["p3_found"], SQL["p3_found"] = references.p3_found, references.P3_SQL
-QUERIES["p3_counts"] = references.p3_counts
+QUERIES["p3_counts"], SQL["p3_counts"] = references.p3_counts, references.P3_COUNTS_SQL
 QUERIES["p6_found"], SQL["p6_found"] = manifest.p6_found, manifest.P6_SQL
 
 # --- parts of SQL that several twins share --------------------------------------------------
@@ -500,7 +500,7 @@ def find_positions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chunk_id", F.element_at("at", 1).alias("first_at"), F.size("at").alias("n"))
 
 
-@query("""select doc_id, unnest(regexp_extract_all(text, '(?m)^[ \t]*>[ \t]*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]', 1)) as alert from documents where text is not null""")
+@query(r"""select doc_id, unnest(regexp_extract_all(text, '(?m)^[ \t]*>[ \t]*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]', 1)) as alert from documents where text is not null""")
 def md_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.explode(T.alerts(F.col("text"))).alias("alert"))
 

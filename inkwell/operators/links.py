@@ -13,7 +13,7 @@ def resolve(links: DataFrame, files: DataFrame) -> DataFrame:
     """Adds target_rel and target_file_id: the file whose rel_path is the target, or else the
     target below the source's folder, taken literally; of several versions the smallest id.
 
-    Two equi-joins instead of one join on either path; hot targets are not shuffled."""
+    Two equi-joins instead of one join on either path; adaptive execution splits hot targets."""
     by_path = files.where("rel_path is not null").groupBy("rel_path").agg(F.min("file_id").alias("fid"))
     dirs = files.groupBy("file_id").agg(F.min("dir").alias("src_dir")).withColumnRenamed("file_id", "src_file_id")
     base = links.drop("target_rel", "target_file_id")

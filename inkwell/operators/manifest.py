@@ -1,16 +1,19 @@
 """Processing only new or changed records (problem 6).
 
 Method: diff of immutable table versions. A table's version is a manifest: a list of data
-files (one for a bucket of keys), each with its deletion vector, the keys of that file that
-no longer hold. A commit writes files only for buckets whose content changed: added records
-go into a new file, replaced and removed ones into deletion vectors; other files are taken
-over by name. The records that changed between two versions follow from the manifests:
-files and deletion vectors that the later one has and the earlier has not. Nothing else is
-read.
+files, each with its deletion vector, the keys of that file that no longer hold. A commit
+writes files only for buckets of keys whose content changed: added records go into a new
+file, replaced and removed ones into deletion vectors; other files are taken over by name.
+The records that changed between two versions follow from the manifests: files and deletion
+vectors that the later one has and the earlier has not. Nothing else is read.
 
-A run's output and the version it processed are one commit: both lie in the same new folder
-that counts from the moment its manifest is written last (`finish`). A run that fails
-leaves no manifest, so its records come again; a run that ended is never repeated.
+After `COMPACTED` data files a commit is followed by a rewrite, a version of the same content
+in one file; a diff over rewrites is put together from the stretches between them.
+
+A run's output and the version it processed are one commit: the output lies in a folder that
+counts from the moment its commit is written last. A run that fails leaves no commit, so its
+records come again; a run that ended is never repeated. Two writers of one version have
+folders of their own, and only one of them can commit it.
 
 Buckets are hashes of the key, so a hot folder of paths is spread. Copies of a record count
 once. Defined results: null keys identify nothing and are left out; equal hashes in other
@@ -19,41 +22,17 @@ letter case are equal; an empty table gives no records; further columns are igno
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.commits import get, latest, put
 from inkwell.sources.tables import shared_dir, table
 
-BUCKETS = 64
+BUCKETS, COMPACTED = 64, 8
 RECORD = "key string, hash string, bucket int"
-
-
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file whole: under another name, then renamed."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.rename(part, p):
-        raise OSError(f"{path} was committed by another run")
-
-
-def _get(spark: SparkSession, path: str) -> str | None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
+VECTOR = "key string, part string, bucket int"
 
 
 class VersionedTable:
@@ -63,30 +42,25 @@ class VersionedTable:
         self.spark, self.folder, self.buckets = spark, folder or shared_dir(spark), buckets
 
     def manifest(self, version: int) -> dict | None:
-        text = _get(self.spark, f"{self.folder}/manifests/{version}.json")
-        return json.loads(text) if text else None
+        return get(self.spark, f"{self.folder}/manifests/{version}.json")
 
     def latest(self) -> int:
-        v = -1
-        while _get(self.spark, f"{self.folder}/manifests/{v + 1}.json") is not None:
-            v += 1
-        return v
+        return latest(self.spark, f"{self.folder}/manifests")
 
     def _data(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
-        """Records of a version, of some buckets: its data parts less their deletion vectors."""
-        parts, vectors = manifest["data"], manifest["deleted"]
-        some = None
-        for part in parts:
-            df = self.spark.read.schema(RECORD).parquet(part).withColumn("part", F.lit(part))
-            some = df if some is None else some.unionByName(df)
-        if some is None:
-            return self.spark.createDataFrame([], "key string, hash string, bucket int")
+        """(key, hash, bucket, part): records of a version, of some buckets; its data parts
+        less the deletion vectors, all vectors in one anti join."""
+        out = self.spark.createDataFrame([], RECORD + ", part string")
+        for part in manifest["data"]:
+            out = out.unionByName(self.spark.read.schema(RECORD).parquet(part).withColumn("part", F.lit(part)))
         if buckets is not None:
-            some = some.where(F.col("bucket").isin(buckets))
-        for vector in vectors:
-            gone = self.spark.read.schema("key string, part string, bucket int").parquet(vector).select("key", "part")
-            some = some.join(gone, ["key", "part"], "left_anti")
-        return some.drop("part")
+            out = out.where(F.col("bucket").isin(buckets))
+        if manifest["deleted"]:
+            gone = self.spark.read.schema(VECTOR).parquet(*manifest["deleted"])
+            if buckets is not None:
+                gone = gone.where(F.col("bucket").isin(buckets))
+            out = out.join(gone.select("key", "part"), ["key", "part"], "left_anti")
+        return out
 
     def records(self, version: int) -> DataFrame:
         return self._data(self.manifest(version)).select("key", "hash")
@@ -95,60 +69,71 @@ class VersionedTable:
         """The next version, holding exactly `records` (key, hash; each key once)."""
         v = self.latest() + 1
         before = self.manifest(v - 1) if v else {"data": [], "deleted": [], "digests": {}}
+        own = f"{v}-{uuid.uuid4().hex}"  # a rival writer of this version has other folders
         bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
         digest = F.sum(F.xxhash64("key", "hash").cast("decimal(38,0)")).cast("string")
-        staged = records.where("key is not null").select("key", "hash", bucket.alias("bucket"))
-        self._write(staged, f"{self.folder}/staged/{v}")
-        staged = self.spark.read.schema(RECORD).parquet(f"{self.folder}/staged/{v}")
+        records.where("key is not null").select("key", "hash", bucket.alias("bucket")).write.parquet(f"{self.folder}/staged/{own}")
+        staged = self.spark.read.schema(RECORD).parquet(f"{self.folder}/staged/{own}")
         # A number and a sum for each bucket: that many rows come to the driver.
         now = {str(r.bucket): f"{r.n}:{r.d}" for r in staged.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), digest.alias("d")).collect()}
         old = before["digests"]
         changed = sorted(int(b) for b in {*now, *old} if now.get(b) != old.get(b))
         manifest = {"data": list(before["data"]), "deleted": list(before["deleted"]), "digests": now}
         if changed and not before["data"]:
-            manifest["data"].append(f"{self.folder}/staged/{v}")
+            manifest["data"].append(f"{self.folder}/staged/{own}")
         elif changed:
             # Every data part carries which part a record lies in, for the deletion vectors.
             mine = staged.where(F.col("bucket").isin(changed))
-            theirs = self._with_part(before, changed)
-            same = F.expr("key <=> key2 and hash <=> hash2")
-            both = mine.join(theirs.select(F.col("key").alias("key2"), F.col("hash").alias("hash2"), "part", F.col("bucket").alias("bucket2")), F.col("key") == F.col("key2"), "full_outer")
-            both = both.where(~F.coalesce(same, F.lit(False)))
-            self._write(both.select("key", "hash", "bucket", "key2", "part", "bucket2"), f"{self.folder}/delta/{v}")
-            delta = self.spark.read.parquet(f"{self.folder}/delta/{v}")
-            self._write(delta.where("key is not null").select("key", "hash", "bucket"), f"{self.folder}/data/{v}")
-            self._write(delta.where("key2 is not null").select(F.col("key2").alias("key"), "part", F.col("bucket2").alias("bucket")), f"{self.folder}/deleted/{v}")
-            manifest["data"].append(f"{self.folder}/data/{v}")
-            manifest["deleted"].append(f"{self.folder}/deleted/{v}")
-        _put(self.spark, f"{self.folder}/manifests/{v}.json", json.dumps(manifest))
+            theirs = self._data(before, changed).select(F.col("key").alias("key2"), F.col("hash").alias("hash2"), "part", F.col("bucket").alias("bucket2"))
+            both = mine.join(theirs, F.col("key") == F.col("key2"), "full_outer").where(~F.coalesce(F.expr("key <=> key2 and hash <=> hash2"), F.lit(False)))
+            both.select("key", "hash", "bucket", "key2", "part", "bucket2").write.parquet(f"{self.folder}/delta/{own}")
+            delta = self.spark.read.parquet(f"{self.folder}/delta/{own}")
+            delta.where("key is not null").select("key", "hash", "bucket").write.parquet(f"{self.folder}/data/{own}")
+            delta.where("key2 is not null").select(F.col("key2").alias("key"), "part", F.col("bucket2").alias("bucket")).write.parquet(f"{self.folder}/deleted/{own}")
+            manifest["data"].append(f"{self.folder}/data/{own}")
+            manifest["deleted"].append(f"{self.folder}/deleted/{own}")
+        put(self.spark, f"{self.folder}/manifests/{v}.json", manifest)
+        if len(manifest["data"]) > COMPACTED:
+            v += 1
+            path = f"{self.folder}/data/{v}-{uuid.uuid4().hex}"
+            self._data(manifest).select("key", "hash", "bucket").write.parquet(path)
+            put(self.spark, f"{self.folder}/manifests/{v}.json", {"data": [path], "deleted": [], "digests": now, "rewritten": True})
         return v
 
-    def _with_part(self, manifest: dict, buckets: list[int]) -> DataFrame:
-        some = None
-        for part in manifest["data"]:
-            df = self.spark.read.schema(RECORD).parquet(part).where(F.col("bucket").isin(buckets)).withColumn("part", F.lit(part))
-            some = df if some is None else some.unionByName(df)
-        for vector in manifest["deleted"]:
-            gone = self.spark.read.schema("key string, part string, bucket int").parquet(vector).where(F.col("bucket").isin(buckets)).select("key", "part")
-            some = some.join(gone, ["key", "part"], "left_anti")
-        return some
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        df.write.mode("overwrite").parquet(path)
-
     def changes(self, since: int, until: int) -> DataFrame:
         """(key, hash, change) between two versions: added, changed or removed. Reads the data
         parts and deletion vectors that only the later manifest has."""
+        stretches, a = [], since
+        for v in range(since + 1, until + 1):
+            if self.manifest(v).get("rewritten"):
+                if v - 1 > a:
+                    stretches.append((a, v - 1))
+                a = v
+        if until > a or not stretches:
+            stretches.append((a, until))
+        found = [self._stretch(a, b).withColumn("at", F.lit(n)) for n, (a, b) in enumerate(stretches)]
+        if len(found) == 1:
+            return found[0].drop("at")
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        ends = every.groupBy("key").agg(F.min_by("change", "at").alias("first"), F.max_by(F.struct("change", "hash"), "at").alias("last"))
+        was, there = F.col("first") != "added", F.col("last.change") != "removed"
+        change = F.when(was & there, "changed").when(there, "added").when(was, "removed")
+        return ends.select("key", F.when(there, F.col("last.hash")).alias("hash"), change.alias("change")).where("change is not null")
+
+    def _stretch(self, since: int, until: int) -> DataFrame:
+        """changes() between versions without a rewrite after the first of them. A key that went
+        from one hash to another and back comes out as changed."""
         a = self.manifest(since) if since >= 0 else {"data": [], "deleted": []}
         b = self.manifest(until)
         added = [p for p in b["data"] if p not in a["data"]]
         vectors = [p for p in b["deleted"] if p not in a["deleted"]]
         new = self._data({"data": added, "deleted": vectors}).select("key", "hash")
         gone = self.spark.createDataFrame([], "key string")
-        for vector in vectors:
-            v = self.spark.read.schema("key string, part string, bucket int").parquet(vector)
-            gone = gone.unionByName(v.where(F.col("part").isin(a["data"])).select("key"))
-        both = new.withColumn("new", F.lit(1)).join(gone.distinct().withColumn("old", F.lit(1)), "key", "full_outer")
+        if vectors and a["data"]:
+            gone = self.spark.read.schema(VECTOR).parquet(*vectors).where(F.col("part").isin(a["data"])).select("key").distinct()
+        both = new.withColumn("new", F.lit(1)).join(gone.withColumn("old", F.lit(1)), "key", "full_outer")
         change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
         return both.select("key", "hash", change.alias("change"))
 
@@ -159,42 +144,45 @@ class Consumer:
     def __init__(self, source: VersionedTable, folder: str):
         self.source, self.folder, self.spark = source, folder, source.spark
 
+    def _last(self) -> tuple[int, int]:
+        """(number of the last finished output, the version it covers)."""
+        n = latest(self.spark, f"{self.folder}/commits")
+        return n, get(self.spark, f"{self.folder}/commits/{n}.json")["version"] if n >= 0 else -1
+
     def processed(self) -> int:
         """The version that the last finished output covers; -1 before the first."""
-        n = -1
-        while (text := _get(self.spark, f"{self.folder}/outputs/{n + 1}/commit.json")) is not None:
-            n += 1
-            version = json.loads(text)["version"]
-        return version if n >= 0 else -1
+        return self._last()[1]
+
+    def skip_to(self, version: int) -> None:
+        """Counts what is in `version` as processed before, without output."""
+        n, done = self._last()
+        if version > done:
+            put(self.spark, f"{self.folder}/commits/{n + 1}.json", {"version": version, "output": None})
 
     def run(self, work=lambda changes: changes) -> DataFrame | None:
         """Applies `work` to what changed since the last finished run and commits the output
         together with the version; None if nothing is new. Safe to repeat after a failure."""
-        done, now = self.processed(), self.source.latest()
+        (n, done), now = self._last(), self.source.latest()
         if now <= done:
             return None
-        n = 0
-        while _get(self.spark, f"{self.folder}/outputs/{n}/commit.json") is not None:
-            n += 1
-        out = f"{self.folder}/outputs/{n}"
-        work(self.source.changes(done, now)).write.mode("overwrite").parquet(f"{out}/data")
-        _put(self.spark, f"{out}/commit.json", json.dumps({"version": now}))
-        return self.spark.read.parquet(f"{out}/data")
+        out = f"{self.folder}/outputs/{n + 1}-{uuid.uuid4().hex}"
+        work(self.source.changes(done, now)).write.parquet(out)
+        put(self.spark, f"{self.folder}/commits/{n + 1}.json", {"version": now, "output": out})
+        return self.spark.read.parquet(out)
 
 
 def runs_of(files: DataFrame, runs: DataFrame) -> DataFrame:
     """files with the status of the run that wrote each row: the run with the greatest
     started_at not after indexed_at. An as-of join by day: a run is entered for each day
-    until the next run starts, so both sides meet on equal days and no side is broadcast."""
+    until the next run starts, so both sides meet on equal days and no side is broadcast.
+    Runs are ordered within their day, and days (a row each: 366 a year) among each other."""
     day = lambda c: F.floor(c / 86_400).cast("bigint")
-    from pyspark.sql import Window
-
-    r = runs.where("started_at is not null").groupBy("started_at").agg(F.max_by("status", "run_id").alias("status"))
-    # Runs are a log with a few rows a day (64 in all here), ordered by one task; files aren't.
-    w = Window.partitionBy(F.lit(0)).orderBy("started_at")
+    r = runs.where("started_at is not null").groupBy("started_at").agg(F.max_by("status", "run_id").alias("status")).withColumn("d0", day(F.col("started_at")))
     last = files.agg(F.max("indexed_at")).first()[0] or 0.0
-    ends = r.withColumn("next", F.lead("started_at").over(w))
-    spans = ends.withColumn("d", F.explode(F.sequence(day(F.col("started_at")), F.greatest(day(F.col("started_at")), day(F.coalesce("next", F.lit(float(last))))))))
+    days = r.groupBy("d0").agg(F.min("started_at").alias("first")).withColumn("after", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("d0"))).select("d0", "after")
+    within = F.lead("started_at").over(Window.partitionBy("d0").orderBy("started_at"))
+    ends = r.withColumn("next", within).join(days, "d0").withColumn("next", F.coalesce("next", "after"))
+    spans = ends.withColumn("d", F.explode(F.sequence("d0", F.greatest("d0", day(F.coalesce("next", F.lit(float(last))))))))
     f = files.withColumn("d", day(F.col("indexed_at")))
     hit = (F.col("indexed_at") >= F.col("started_at")) & (F.col("next").isNull() | (F.col("indexed_at") < F.col("next")))
     return f.join(spans.select("d", "started_at", "next", "status"), "d").where(hit).drop("d", "next", "started_at")
@@ -214,13 +202,22 @@ def watched(changes: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(newest.alias("n")).where("n.op = 'upsert'").select(F.col("path").alias("key"), "n.hash")
 
 
-def pending_files(files: DataFrame, runs: DataFrame, changes: DataFrame) -> DataFrame:
-    """(key, hash, change): what the next indexing run must process. The version that the ok
-    runs left is committed first, then the watcher's; their manifests' diff is the answer."""
-    t = VersionedTable(files.sparkSession)
-    done = t.commit(indexed(files, runs))
-    now = t.commit(watched(changes))
-    return t.changes(done, now).where("change <> 'removed'")
+def pending_files(files: DataFrame, runs: DataFrame, changes: DataFrame, folder: str | None = None) -> DataFrame:
+    """(key, hash, change): what the next indexing run must process.
+
+    What the ok runs left is the version processed so far, what the watcher saw the next one;
+    a Consumer works off the difference of their manifests and commits it with the version.
+    folder: where versions and outputs are kept between calls, of which only the changed
+    buckets are written and read again.
+    """
+    t = VersionedTable(files.sparkSession, folder)
+    c = Consumer(t, f"{t.folder}/consumer")
+    c.skip_to(t.commit(indexed(files, runs)))
+    t.commit(watched(changes))
+    out = c.run()
+    if out is None:
+        return files.sparkSession.createDataFrame([], "key string, hash string, change string")
+    return out.where("change <> 'removed'")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

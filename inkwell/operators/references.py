@@ -8,16 +8,21 @@ references, arriving parents and deleted parents:
 2. arriving parents resolve the pending references that want their keys;
 3. deletions reopen the references whose last parent they were.
 
-Only the batch, the pending set and the key columns are joined, never references with
-references. State is written as immutable parts in the shared folder, a part for a batch;
-a batch whose pending part was not finished (no _SUCCESS) counts as not applied and can be
-applied again, so a lost executor or driver leaves the state as it was. `pending` is the
-snapshot after the last batch, `counts` its number for each table and month.
-
-A hot key (a page that a third of all links want) is decided once and sent to its rows, see
-skew.lookup. Defined results: null keys want nothing and are no references; copies of a row
-(same table and id) are one reference; order of arrival inside a batch doesn't matter, and
-any division of the same rows into batches ends in the same pending set.
+The parent index and the references by wanted key lie in `BUCKETS` folders by the key's
+hash; a batch reads only the buckets of its keys, and of those the part files that later
+compactions left (after `COMPACTED` batches a relation is written anew as one part). Only
+the batch, the pending set and those buckets are joined, never references with references.
+
+A batch counts from the moment its commit is written, last; the commit names every part that
+belongs to the state. A driver that is lost in between leaves the state as it was: whoever
+opens the folder again goes on after the last commit, and the batch can be applied again.
+`pending` is the snapshot after the last batch, `counts` its number for each table and month.
+
+A hot key (a page that a third of all links want) is split by adaptive execution in joins and
+by a hash of the row id where its bucket is written. Defined results: null keys want nothing
+and are no references; copies of a row (same table and id) are one reference; order of
+arrival inside a batch doesn't matter (keys that arrive and are deleted in one batch are
+there), and any division of the same rows into batches ends in the same pending set.
 """
 
 from __future__ import annotations
@@ -25,11 +30,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.commits import get, latest, put
 from inkwell.operators.skew import lookup
-from inkwell.sources.tables import once, shared_dir, table
+from inkwell.sources.tables import shared_dir, table
 
 REFERENCES = "tab string, row_id bigint, loaded_at timestamp, wants array<string>"
 PARENTS = "key string"
+#: Folders by hash of the key; parts after which a relation is written anew; tasks of a bucket.
+BUCKETS, COMPACTED, SALTS = 16, 8, 4
+EVENTS = "key string, batch int, there boolean, bucket int"
+WANTED = "key string, tab string, row_id bigint, loaded_at timestamp, wants array<string>, bucket int"
+
+
+def bucket_of(key: str = "key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class OrphanState:
@@ -38,24 +52,30 @@ class OrphanState:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or shared_dir(spark)
-        self.version = -1
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], schema)
-        paths = [f"{self.folder}/{name}/batch={n}" for n in range(self.version + 1)]
-        return self.spark.read.schema(schema).parquet(*paths)
+    @property
+    def version(self) -> int:
+        """The last finished batch, as the folder says; -1 before the first."""
+        return latest(self.spark, f"{self.folder}/commits")
 
-    def _parents(self) -> DataFrame:
-        """Keys that exist: those whose last event is an arrival."""
-        events = self._read("parents", "key string, batch int, there boolean")
-        return events.groupBy("key").agg(F.max_by("there", F.struct("batch", "there")).alias("there")).where("there").select("key")
+    def _state(self) -> dict:
+        n = self.version
+        return get(self.spark, f"{self.folder}/commits/{n}.json") if n >= 0 else {"parents": [], "wanted": [], "pending": None}
+
+    def _parts(self, paths: list[str], schema: str, buckets: list[int] | None = None) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        # Parts have different roots, so each is read by itself for its bucket folders.
+        out = None
+        for p in paths:
+            df = self.spark.read.schema(schema).parquet(p)
+            out = df if out is None else out.unionByName(df)
+        return out if buckets is None else out.where(F.col("bucket").isin(buckets))
 
     def pending(self) -> DataFrame:
         """(tab, row_id, loaded_at, wants) of the references that have no parent now."""
-        if self.version < 0:
-            return self.spark.createDataFrame([], REFERENCES)
-        return self.spark.read.schema(REFERENCES).parquet(f"{self.folder}/pending/batch={self.version}")
+        path = self._state()["pending"]
+        return self.spark.read.schema(REFERENCES).parquet(path) if path else self.spark.createDataFrame([], REFERENCES)
 
     def counts(self) -> DataFrame:
         """(tab, month, orphans) of the pending set."""
@@ -63,44 +83,80 @@ class OrphanState:
         return self.pending().groupBy("tab", month.alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
 
     def apply(self, references: DataFrame | None = None, arriving: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
-        """One batch; returns the pending references after it. Keys that arrive and are
-        deleted in the same batch are there."""
-        spark, n = self.spark, self.version + 1
-        empty = lambda s: spark.createDataFrame([], s)
-        arriving = (arriving if arriving is not None else empty(PARENTS)).where("key is not null").select("key").distinct()
-        events = arriving.withColumn("there", F.lit(True))
-        if deleted is not None:
-            events = events.unionByName(deleted.where("key is not null").select("key").distinct().withColumn("there", F.lit(False)))
-        new = references if references is not None else empty(REFERENCES)
-        new = new.where(F.size("wants") > 0)
-        self._write(events.select("key", F.lit(n).alias("batch"), "there"), "parents", n)
-        self._write(new, "references", n)
-        old_pending, old_references = self.pending(), self._read("references", REFERENCES)
-        self.version = n  # the parts written above are read from here on
-        parents = self._parents()
-        new = spark.read.schema(REFERENCES).parquet(f"{self.folder}/references/batch={n}").dropDuplicates(["tab", "row_id"])
-        waiting = self._without_parent(new, parents)
-        if n:
-            came = spark.read.schema("key string, batch int, there boolean").parquet(f"{self.folder}/parents/batch={n}")
-            still = self._without_parent(old_pending, came.where("there").select("key"))
-            waiting = waiting.unionByName(still)
-            if deleted is not None:
-                gone = came.where("not there").select("key").join(parents, "key", "left_anti")
-                touched = old_references.select("tab", "row_id", F.explode("wants").alias("key")).join(gone, "key", "left_semi").select("tab", "row_id").distinct()
-                again = old_references.join(touched, ["tab", "row_id"], "left_semi").dropDuplicates(["tab", "row_id"])
-                waiting = waiting.unionByName(self._without_parent(again, parents)).dropDuplicates(["tab", "row_id"])
-        self._write(waiting, "pending", n)
+        """One batch; returns the pending references after it."""
+        spark, n, state = self.spark, self.version + 1, self._state()
+        part = lambda name: f"{self.folder}/{name}/batch={n}"
+        parents, wanted = list(state["parents"]), list(state["wanted"])
+        events = None
+        for some, there in ((arriving, True), (deleted, False)):
+            if some is not None:
+                some = some.where("key is not null").select("key", F.lit(there).alias("there"))
+                events = some if events is None else events.unionByName(some)
+        if events is not None:
+            events = events.groupBy("key").agg(F.max("there").alias("there"))  # arrived and deleted: there
+            self._bucketed(events.select("key", F.lit(n).alias("batch"), "there", bucket_of().alias("bucket")), part("parents"))
+            events = self._parts([part("parents")], EVENTS)
+        waiting = []
+        if references is not None:
+            rows = references.where(F.size("wants") > 0).select("tab", "row_id", "loaded_at", "wants")
+            rows = rows.select(F.explode("wants").alias("key"), "*").where("key is not null")
+            salt = F.pmod(F.xxhash64("tab", "row_id"), F.lit(SALTS))
+            self._bucketed(rows.select("*", bucket_of().alias("bucket")), part("wanted"), salt)
+            came = [*parents, *([part("parents")] if events is not None else [])]
+            waiting.append(self._without_parent(self._parts([part("wanted")], WANTED), came))
+        old = self.pending()
+        if events is not None and state["pending"]:
+            freed = old.select("tab", "row_id", F.explode("wants").alias("key")).join(events.where("there").select("key"), "key", "left_semi").select("tab", "row_id").distinct()
+            old = old.join(freed, ["tab", "row_id"], "left_anti")
+        if state["pending"]:
+            waiting.append(old)
+        if deleted is not None and wanted:
+            gone = events.where("not there").select("key", "bucket")
+            touched = [r.bucket for r in gone.select("bucket").distinct().collect()]  # at most BUCKETS
+            rows = self._parts(wanted, WANTED, touched).join(gone.select("key"), "key", "left_semi")
+            again = rows.groupBy("tab", "row_id").agg(F.first("loaded_at").alias("loaded_at"), F.first("wants").alias("wants"))
+            again = again.select(F.explode("wants").alias("key"), "*").where("key is not null").withColumn("bucket", bucket_of())
+            waiting.append(self._without_parent(again, [*parents, part("parents")]))
+        out = spark.createDataFrame([], REFERENCES) if not waiting else waiting[0]
+        for more in waiting[1:]:
+            out = out.unionByName(more)
+        if len(waiting) > 1:
+            out = out.dropDuplicates(["tab", "row_id"])
+        out.write.mode("overwrite").parquet(part("pending"))
+        parents += [part("parents")] if events is not None else []
+        wanted += [part("wanted")] if references is not None else []
+        if len(parents) > COMPACTED:
+            last = self._existing(self._parts(parents, EVENTS))
+            self._bucketed(last.select("key", F.lit(n).alias("batch"), F.lit(True).alias("there"), bucket_of().alias("bucket")), part("parents-whole"))
+            parents = [part("parents-whole")]
+        if len(wanted) > COMPACTED:
+            self._bucketed(self._parts(wanted, WANTED).dropDuplicates(["key", "tab", "row_id"]), part("wanted-whole"), F.pmod(F.xxhash64("tab", "row_id"), F.lit(SALTS)))
+            wanted = [part("wanted-whole")]
+        put(spark, f"{self.folder}/commits/{n}.json", {"parents": parents, "wanted": wanted, "pending": part("pending")})
         return self.pending()
 
-    def _write(self, df: DataFrame, name: str, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={n}")
+    @staticmethod
+    def _bucketed(df: DataFrame, path: str, salt: Column | None = None) -> None:
+        """Writes a folder a bucket, a file each (SALTS files where a hot key may lie)."""
+        by = [F.col("bucket")] if salt is None else [F.col("bucket"), salt]
+        df.repartition(*by).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     @staticmethod
-    def _without_parent(references: DataFrame, parents: DataFrame) -> DataFrame:
-        """References none of whose keys is among the parents (unique keys)."""
-        wanted = references.select("tab", "row_id", F.explode("wants").alias("key"))
-        known = lookup(wanted, parents.withColumn("known", F.lit(True)), "key").where("known")
-        return references.join(known.select("tab", "row_id").distinct(), ["tab", "row_id"], "left_anti")
+    def _existing(events: DataFrame) -> DataFrame:
+        """Keys whose last event is an arrival."""
+        return events.groupBy("key").agg(F.max_by("there", "batch").alias("there")).where("there").select("key")
+
+    def _without_parent(self, wanted: DataFrame, parents: list[str]) -> DataFrame:
+        """References, given a row for each key they want, none of whose keys exists. Of each
+        wanted key's events only are looked at; every reference comes out once."""
+        events = self._parts(parents, EVENTS)
+        if len(parents) > 1:
+            events = self._existing(events)
+        else:
+            events = events.where("there").select("key")  # each key once in a part
+        flagged = lookup(wanted, events.withColumn("there", F.lit(True)), "key")
+        rows = flagged.groupBy("tab", "row_id").agg(F.max("there").alias("there"), F.first("loaded_at").alias("loaded_at"), F.first("wants").alias("wants"))
+        return rows.where("there is null").select("tab", "row_id", "loaded_at", "wants")
 
 
 def percent_decoded(c: Column) -> Column:
@@ -158,28 +214,33 @@ def vault_parents(files: DataFrame, headings: DataFrame) -> DataFrame:
     own = files.select(F.explode(F.array(F.concat(F.lit("id\x1f"), F.col("file_id").cast("string")), key("file", F.col("rel_path")))).alias("key"), at).where("key is not null")
     of_file = named.where("file_id is not null").groupBy("file_id").agg(F.min("rel_path").alias("rel_path"), F.min("indexed_at").alias("indexed_at"))
     # A file has few headings on the whole, but a hot one may not: the files' side is unique.
-    h = lookup(headings.where("file_id is not null").select("file_id", "slug", "text"), of_file, "file_id", how="inner")
+    h = lookup(headings.where("file_id is not null").select("file_id", "slug", "text"), of_file, "file_id", "inner")
     keys = F.array_compact(F.array(F.when(F.col("slug").isNotNull(), key("slug", F.col("rel_path"), F.col("slug"))), F.when(F.col("text").isNotNull(), key("text", F.col("rel_path"), F.col("text")))))
     return own.unionByName(h.select(F.explode(keys).alias("key"), at))
 
 
-def vault_orphans(spark: SparkSession, folder: str, batches: int = 2) -> OrphanState:
+def vault_orphans(spark: SparkSession, folder: str, batches: int = 2, state: OrphanState | None = None) -> OrphanState:
     """The orphan state of a vault's tables, its rows applied in `batches` periods of equal
-    length in the order in which they were written."""
+    length in the order in which they were written. A state that holds some of these batches
+    already (a run that was lost) gets the others only."""
     files, headings = table(spark, folder, "files"), table(spark, folder, "headings")
-    refs = link_references(table(spark, folder, "links"), files).unionByName(frontmatter_references(table(spark, folder, "frontmatter")))
+    links, front = table(spark, folder, "links"), table(spark, folder, "frontmatter")
+    refs = link_references(links, files).unionByName(frontmatter_references(front))
     parents = vault_parents(files, headings)
-    state = OrphanState(spark)
-    # The tables are resolved once and laid down; the batches read from there.
-    refs.write.parquet(f"{state.folder}/input/references")
-    parents.groupBy("key").agg(F.min("at").alias("at")).write.parquet(f"{state.folder}/input/parents")
-    refs, parents = spark.read.parquet(f"{state.folder}/input/references"), spark.read.parquet(f"{state.folder}/input/parents")
+    state = state or OrphanState(spark)
+    # The tables' keys are worked out once and laid down; the batches read from there.
+    refs.write.mode("overwrite").parquet(f"{state.folder}/input/references")
+    parents.groupBy("key").agg(F.min("at").alias("at")).write.mode("overwrite").parquet(f"{state.folder}/input/parents")
+    refs = spark.read.schema(REFERENCES).parquet(f"{state.folder}/input/references")
+    parents = spark.read.schema("key string, at timestamp").parquet(f"{state.folder}/input/parents")
     span = refs.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b")).first()
     if span.a is None:
-        state.apply(refs, parents.select("key"))
-        return state
+        batches = 1
     edges = [None, *(span.a + (span.b - span.a) * k / batches for k in range(1, batches)), None]
-    for lo, hi in zip(edges, edges[1:]):
+    for n, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        if n <= state.version:
+            continue
+
         def within(c: str) -> Column:
             ok = F.lit(True)
             if lo is not None:
@@ -228,3 +289,9 @@ select 'links' as tab, link_id as row_id from parts where link_id not in (select
 union all
 select distinct 'frontmatter', fm_id from frontmatter where file_id is not null and fm_id is not null and file_id not in (select file_id from f where file_id is not null)
 """
+
+P3_COUNTS_SQL = f"""
+with found as ({P3_SQL}),
+rows as (select distinct 'links' as tab, link_id as row_id, loaded_at from links union all select distinct 'frontmatter', fm_id, loaded_at from frontmatter)
+select tab, strftime(date_trunc('month', loaded_at), '%Y-%m') as month, count(*) as orphans from found join rows using (tab, row_id) group by all
+"""

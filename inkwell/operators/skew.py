@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: A key is hot if it holds more than one of so many rows; so at most so many keys are hot.
-HOT_SHARE = 256
 
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left (or inner) join with `right`, which has each key once.
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
-    """Keys that hold more than a `share`-th of the rows: fewer than `share`, counted over all
-    rows with partial counts before the shuffle."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).select(F.col(key).alias("k"), "n")
-    # At most `share` - 1 keys can be hot, so the largest `share` counts hold all of them.
-    top = counts.orderBy(F.desc("n")).limit(share).collect()
-    total = df.where(F.col(key).isNotNull()).count()
-    return [r.k for r in top if r.n * share > total]
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SHARE, how: str = "left") -> DataFrame:
-    """left join with `right`, which has each key once. Rows of hot keys meet their (fewer
-    than `share`) right rows by broadcast and are not shuffled; all others by shuffle."""
-    hot = hot_keys(left, key, share)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot: Column = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return left.where(~is_hot).join(right, key, how).unionByName(left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how))
+    No job runs while the plan is built. A small right side (by the size of what is written
+    or measured in a shuffle) is broadcast by the planner; else both sides are shuffled, and
+    adaptive execution splits the left rows of an overfull partition over several tasks, each
+    with the right rows of that partition, so a hot key isn't one task's.
+    """
+    return left.join(right, key, how)

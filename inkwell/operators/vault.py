@@ -7,7 +7,6 @@ follows the change and not the vault. Ids are hashes of paths and lines and stay
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import index_string
 from inkwell.operators.links import resolve
-from inkwell.operators.manifest import _get, _put
+from inkwell.operators.commits import get, latest, put
 from inkwell.operators.markdown import DATE_KEYS, parsed, segmented
 from inkwell.sources.tables import shared_dir
 
@@ -68,10 +67,8 @@ class Vault:
 
     def state(self) -> dict:
         """The latest version: its number, parts and meta values."""
-        n, last = 0, {"version": -1, "parts": [], "gone": [], "meta": {"schema_version": SCHEMA_VERSION}}
-        while text := _get(self.spark, f"{self.folder}/versions/{n}.json"):
-            last = json.loads(text)
-            n += 1
+        n = latest(self.spark, f"{self.folder}/versions")
+        last = get(self.spark, f"{self.folder}/versions/{n}.json") if n >= 0 else {"version": -1, "parts": [], "gone": [], "meta": {"schema_version": SCHEMA_VERSION}}
         if last["meta"].get("schema_version") != SCHEMA_VERSION:
             return {"version": last["version"], "parts": [], "gone": [], "meta": {"schema_version": SCHEMA_VERSION}}
         return last
@@ -129,7 +126,7 @@ class Vault:
 
     def set_meta(self, **values) -> None:
         state = self.state()
-        _put(self.spark, f"{self.folder}/versions/{state['version'] + 1}.json", json.dumps(state | {"version": state["version"] + 1, "meta": state["meta"] | values}))
+        put(self.spark, f"{self.folder}/versions/{state['version'] + 1}.json", state | {"version": state["version"] + 1, "meta": state["meta"] | values})
 
     def use_model(self, name: str) -> bool:
         """Remembers the embedding model; with another one than before all vectors go."""
@@ -143,7 +140,7 @@ class Vault:
         ids = gone.select(F.xxhash64("path").alias("file_id"), F.lit(n).alias("part"))
         ids.write.mode("overwrite").parquet(f"{self.folder}/gone/{n}")
         new = {"version": n, "parts": state["parts"] + [n] * parts, "gone": state["gone"] + [n], "meta": state["meta"]}
-        _put(self.spark, f"{self.folder}/versions/{n}.json", json.dumps(new))
+        put(self.spark, f"{self.folder}/versions/{n}.json", new)
 
     def _write(self, files: DataFrame, n: int, now: float) -> None:
         at = f"{self.folder}/parts/{n}"

@@ -66,3 +66,50 @@ def test_pending_files(spark):
     assert {r.key: r.hash for r in watched(feed).collect()} == {"a": "aa", "b": "cc", "c": "dd", "f": "q", "e": "x"}
     assert {r.key: r.change for r in pending_files(files, runs, feed).collect()} == {"c": "added", "f": "added", "e": "added"}
     assert pending_files(files.limit(0), runs.limit(0), feed.limit(0)).count() == 0
+
+
+def test_rewrites_and_differences_over_them(spark, monkeypatch):
+    from inkwell.operators import manifest
+
+    monkeypatch.setattr(manifest, "COMPACTED", 2)
+    t = VersionedTable(spark, buckets=2)
+    states, at = [{"a": "1", "b": "1", "z": "1"}], []
+    states += [{"a": "2", "b": "1", "z": "1"}, {"a": "2", "c": "1", "z": "1"}, {"a": "2", "c": "2"}, {"a": "3", "b": "1"}]
+    for s in states:
+        at.append(t.commit(records(spark, s)))
+    assert any(t.manifest(v).get("rewritten") for v in range(t.latest() + 1)) and len(t.manifest(t.latest())["data"]) <= 2
+    for v, s in zip(at, states):
+        assert {r.key: r.hash for r in t.records(v).collect()} == s
+    assert changed(t.changes(at[0], at[-1])) == {"a": ("changed", "3"), "b": ("changed", "1"), "z": ("removed", None)}
+    assert changed(t.changes(at[1], at[3])) == {"b": ("removed", None), "c": ("added", "2"), "z": ("removed", None)}
+
+
+def test_only_one_of_two_writers_commits(spark):
+    from inkwell.operators.commits import get, latest, put
+
+    t = VersionedTable(spark, buckets=2)
+    t.commit(records(spark, {"a": "1"}))
+    path = f"{t.folder}/manifests/1.json"
+    put(spark, path, {"first": True})
+    with pytest.raises(OSError, match="another run"):
+        put(spark, path, {"second": True})
+    assert get(spark, path) == {"first": True} and latest(spark, f"{t.folder}/manifests") == 1
+    assert get(spark, f"{t.folder}/manifests/7.json") is None and latest(spark, f"{t.folder}/none") == -1
+
+
+def test_a_lost_run_is_repeated_whole(spark, monkeypatch):
+    from inkwell.operators import manifest
+
+    t = VersionedTable(spark, buckets=2)
+    t.commit(records(spark, {"a": "1", "b": "1"}))
+    c = Consumer(t, t.folder + "/c")
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(manifest, "put", lost)
+    with pytest.raises(RuntimeError):
+        c.run()  # output written, commit not
+    monkeypatch.undo()
+    again = Consumer(VersionedTable(spark, t.folder, 2), c.folder)
+    assert again.processed() == -1 and set(changed(again.run())) == {"a", "b"} and again.run() is None

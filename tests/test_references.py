@@ -1,9 +1,10 @@
+import collections
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from inkwell.operators.references import OrphanState, frontmatter_references, link_references, percent_decoded, resolved_path, vault_parents
-from inkwell.operators.skew import hot_keys, lookup
+from inkwell.operators.skew import lookup
 
 T = dt.datetime(2025, 1, 1)
 FILES = "file_id long, rel_path string, dir string, indexed_at double"
@@ -74,8 +75,61 @@ def test_links_of_every_kind(spark):
 
 
 def test_hot_key_lookup(spark):
-    left = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)] + [(None, -1)], "key string, i long")
+    """Adaptive execution splits the rows of a hot key over several tasks."""
+    left = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as key", "id as i", "sha2(cast(id as string), 256) as pad").repartition(8)
     right = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v long")
-    assert hot_keys(left, "key") == ["hot"]
-    got = lookup(left, right, "key")
-    assert got.count() == 3001 and got.where("v = 1").count() == 1000 and got.where("v = 2").count() == 1
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in kept}
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+    try:
+        got = lookup(left, right, "key")
+        rows = got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert collections.Counter(r.v for r in rows) == {1: 10_000, 2: 1, None: 19_999}
+    assert "skew=true" in plan
+
+
+def test_a_state_opened_again_goes_on_after_the_last_commit(spark, monkeypatch):
+    from inkwell.operators import references
+
+    s = OrphanState(spark)
+    s.apply(refs(spark, [(1, "a"), (2, "b")]), keys(spark, ["c"]))
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(references, "put", lost)
+    for _ in range(2):
+        try:
+            s.apply(refs(spark, [(3, "d")]), keys(spark, ["a"]))
+        except RuntimeError:
+            pass
+        assert s.version == 0 and pending(s) == [1, 2]
+    monkeypatch.undo()
+    again = OrphanState(spark, s.folder)  # a new driver
+    assert again.version == 0 and pending(again) == [1, 2]
+    again.apply(refs(spark, [(3, "d")]), keys(spark, ["a"]))
+    assert OrphanState(spark, s.folder).version == 1 and pending(s) == [2, 3]
+
+
+def test_parts_are_compacted_and_untouched_buckets_not_read(spark, monkeypatch):
+    from inkwell.operators import references
+
+    monkeypatch.setattr(references, "COMPACTED", 2)
+    s = OrphanState(spark)
+    want = set()
+    for n in range(5):
+        gone = keys(spark, [f"k{n - 1}"]) if n else None
+        s.apply(refs(spark, [(10 * n + i, f"k{n + i}") for i in range(3)]), keys(spark, [f"k{n}"]), gone)
+    there = {"k4"}
+    want = {10 * n + i for n in range(5) for i in range(3) if f"k{n + i}" not in there}
+    assert set(pending(s)) == want
+    state = s._state()
+    assert len(state["parents"]) <= 2 and len(state["wanted"]) <= 2
+    one = s._parts(state["wanted"], references.WANTED, [3]).inputFiles()
+    plan = s._parts(state["wanted"], references.WANTED, [3])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1][:200], one
