@@ -100,8 +100,8 @@ class OrphanState:
         if references is not None:
             rows = references.where(F.size("wants") > 0).select("tab", "row_id", "loaded_at", "wants")
             rows = rows.select(F.explode("wants").alias("key"), "*").where("key is not null")
-            salt = F.pmod(F.xxhash64("tab", "row_id"), F.lit(SALTS))
-            self._bucketed(rows.select("*", bucket_of().alias("bucket")), part("wanted"), salt)
+            # Written as it comes, a file a bucket and task; compaction gathers them.
+            rows.select("*", bucket_of().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(part("wanted"))
             came = [*parents, *([part("parents")] if events is not None else [])]
             waiting.append(self._without_parent(self._parts([part("wanted")], WANTED), came))
         old = self.pending()
@@ -154,8 +154,10 @@ class OrphanState:
             events = self._existing(events)
         else:
             events = events.where("there").select("key")  # each key once in a part
-        flagged = lookup(wanted, events.withColumn("there", F.lit(True)), "key")
-        rows = flagged.groupBy("tab", "row_id").agg(F.max("there").alias("there"), F.first("loaded_at").alias("loaded_at"), F.first("wants").alias("wants"))
+        # A row's keys come together again here, so they needn't travel along with each of them.
+        flagged = lookup(wanted.select("key", "tab", "row_id", "loaded_at"), events.withColumn("there", F.lit(True)), "key")
+        unmet = F.when(F.col("there").isNull(), F.col("key"))
+        rows = flagged.groupBy("tab", "row_id").agg(F.max("there").alias("there"), F.first("loaded_at").alias("loaded_at"), F.collect_set(unmet).alias("wants"))
         return rows.where("there is null").select("tab", "row_id", "loaded_at", "wants")
 
 
