@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources.tables import shared_dir
+
 #: Longest abbreviation in letters; least ratio of an abbreviation; least ratio of
 #: starters and collocations (chi square, one degree of freedom, 0.5 %).
 LONGEST, ABBREVIATION, ASSOCIATED = 8, 0.3, 7.88
@@ -160,12 +162,47 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang"
 
     counts = docs.select(lang, F.col(text_col).cast("string").alias("t")).where("t is not null").mapInArrow(run, COUNTS)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
-    by_term = counts.groupBy("lang", "term").agg(*(of(k) for k in "wpenqaslb"))
-    # Only terms that could matter: seen before a stop mostly, after a number, or as starters.
-    some = by_term.where("(p >= 2 and 2 * p >= w) or a >= 2 or b >= 2 or term = '' or (p > 0 and w >= 5)")
-    rows = [r.asDict() for r in some.select("lang", "term", *"wpenqaslb").toLocalIterator()]
-    sums = by_term.groupBy("lang").agg(*(F.sum(k).alias(k) for k in "nqasb")).collect()
-    return _model(rows, {r.lang: r.asDict() for r in sums})
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
+    # Counted once and laid down: languages, evidence and ordinary words are read from there.
+    counts.groupBy("lang", "term").agg(*(of(k) for k in "wpenqaslb")).write.parquet(f"{folder}/types")
+    types = spark.read.schema("lang string, term string, " + ", ".join(f"{k} bigint" for k in "wpenqaslb")).parquet(f"{folder}/types")
+    sums = {r.lang: r.asDict() for r in types.groupBy("lang").agg(*(F.sum(k).alias(k) for k in "nqasb")).collect()}
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [bool(abbreviating(r, sums[r["lang"]]) or collocated(r, sums[r["lang"]]) or starting(r, sums[r["lang"]])) for r in batch.to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # What comes to the driver passed the likelihood thresholds: the abbreviations, collocations
+    # and starters themselves, whose number depends on the languages and not on the corpus.
+    found = types.where("(p >= 2 and 2 * p >= w) or a >= 2 or b >= 2").mapInArrow(telling, types.schema)
+    rows = [r.asDict() for r in found.toLocalIterator()]
+    short = sorted({r["term"] for r in rows if abbreviating(r, sums[r["lang"]])})
+    if short:
+        names = spark.createDataFrame([(t,) for t in short], "term string")
+        rows += [r.asDict() for r in types.where("w >= 5 and 2 * p < w").join(F.broadcast(names), "term", "left_semi").toLocalIterator()]
+    return _model(rows, sums)
+
+
+def abbreviating(r: dict, s: dict) -> bool:
+    """Whether a full stop follows a type so much more often than its share that it must be an
+    abbreviation."""
+    if r["p"] < 2 or 2 * r["p"] < r["w"] or s["q"] >= s["n"]:
+        return False
+    n = min(r["w"], ENOUGH)
+    k = r["p"] * n / r["w"]
+    ratio = 2 * (_log_binomial(k, n, 0.99) - _log_binomial(k, n, s["q"] / s["n"]))
+    letters = sum(c != "." for c in r["term"])
+    bare = (r["w"] - r["p"]) * min(1.0, WEIGHED / r["w"])
+    return ratio * math.exp(-letters) * (r["term"].count(".") + 1) * letters**-bare >= ABBREVIATION
+
+
+def collocated(r: dict, s: dict) -> bool:
+    return r["a"] >= 2 and associated(r["a"], s["a"], r["s"], s["s"]) >= ASSOCIATED
+
+
+def starting(r: dict, s: dict) -> bool:
+    return r["b"] >= 2 and associated(r["b"], s["q"], r["l"] - r["b"], s["n"]) >= ASSOCIATED and 2 * r["b"] >= r["l"] * 0.1
 
 
 def _model(rows: list[dict], sums: dict[str, dict]) -> Model:
@@ -173,20 +210,13 @@ def _model(rows: list[dict], sums: dict[str, dict]) -> Model:
     by_type: dict[str, list[dict]] = {}
     for r in rows:
         lang, term, s = r["lang"], r["term"], sums[r["lang"]]
-        if r["p"] >= 2 and 2 * r["p"] >= r["w"] and s["q"] < s["n"]:
-            n = min(r["w"], ENOUGH)
-            k = r["p"] * n / r["w"]
-            ratio = 2 * (_log_binomial(k, n, 0.99) - _log_binomial(k, n, s["q"] / s["n"]))
-            letters = sum(c != "." for c in term)
-            bare = (r["w"] - r["p"]) * min(1.0, WEIGHED / r["w"])
-            scaled = ratio * math.exp(-letters) * (term.count(".") + 1) * letters**-bare
-            if scaled >= ABBREVIATION:
-                if r["p"] >= OWN:
-                    m.abbreviations.setdefault(lang, {})[term] = r["e"] >= 2 and r["e"] >= FINAL_SHARE * r["p"]
-                by_type.setdefault(term, []).append(r)
-        if r["a"] >= 2 and associated(r["a"], s["a"], r["s"], s["s"]) >= ASSOCIATED:
+        if abbreviating(r, s):
+            if r["p"] >= OWN:
+                m.abbreviations.setdefault(lang, {})[term] = r["e"] >= 2 and r["e"] >= FINAL_SHARE * r["p"]
+            by_type.setdefault(term, []).append(r)
+        if collocated(r, s):
             m.collocations.setdefault(lang, set()).add(term)
-        if r["b"] >= 2 and associated(r["b"], s["q"], r["l"] - r["b"], s["n"]) >= ASSOCIATED and 2 * r["b"] >= r["l"] * 0.1:
+        if starting(r, s):
             m.starters.setdefault(lang, set()).add(term)
     for term, some in by_type.items():
         e, p = sum(r["e"] for r in some), sum(r["p"] for r in some)
@@ -202,10 +232,12 @@ def _model(rows: list[dict], sums: dict[str, dict]) -> Model:
 OPEN = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "“": "”", "„": "“”", "«": "»", "‘": "’", '"': '"', "`": "`"}
 CLOSERS = set(")）]」』”»’\"")
 BRACKETS, CODE = "(（", "[`"
+NESTING = "(（[「『"
+NESTED = {OPEN[c]: c for c in NESTING}
 STOPS = ".!?…。！？．｡।॥؟۔"
 STRONG = set("。！？．｡।॥؟۔")
 EVENT = re.compile("[" + re.escape(STOPS + "".join(OPEN) + "".join(CLOSERS)) + "]")
-TAIL = re.compile(r"[^\s\"“„«(\[（「『‘`*_>」』」。、，：]*$")
+BREAK = re.compile(r"[\s\"“„«(\[（「『‘`*_>」』」。、，：]")
 HEAD = re.compile(r"[\s*_`\"“„«(\[‘>]*([^\s]*)")
 SPACES = re.compile(rf"[\s{INVISIBLE}]*")
 THAI = re.compile("[ก-๛]")
@@ -333,10 +365,12 @@ class Splitter:
         thai = THAI.search(p) is not None
         inside: list[tuple[int, int]] = []
         k, m = 0, len(events)
+        closings = self._closings(p, events) if any(c in OPEN for _, c in events) else []
+        self._breaks = [b.start() for b in BREAK.finditer(p)] if "." in p else []
         while k < m:
             pos, c = events[k]
             if c in OPEN:
-                j = self._close(p, events, k)
+                j = closings[k]
                 if j is not None:
                     end = events[j][0]
                     if thai:
@@ -366,29 +400,25 @@ class Splitter:
         return cuts
 
     @staticmethod
-    def _close(p: str, events: list[tuple[int, str]], k: int) -> int | None:
-        """The event that closes the group opened by event k, in the same paragraph."""
-        pos, c = events[k]
-        ends = OPEN[c]
-        if c == '"' and pos + 1 < len(p) and p[pos + 1].isspace():
-            return None
-        if c == "‘" or c == "'":
-            for j in range(k + 1, len(events)):
-                q, d = events[j]
-                if d == "’" and not (q + 1 < len(p) and p[q + 1].isalpha() and p[q - 1].isalpha()):
-                    return j
-            return None
-        depth = 0
-        nests = c in "(（[「『"
-        for j in range(k + 1, len(events)):
-            d = events[j][1]
-            if nests and d == c:
-                depth += 1
-            elif d in ends:
-                if not depth:
-                    return j
-                depth -= 1
-        return None
+    def _closings(p: str, events: list[tuple[int, str]]) -> list[int | None]:
+        """For every event the one that closes the group it opens, in the same paragraph; one
+        pass from the left for what nests and one from the right for the rest."""
+        out: list[int | None] = [None] * len(events)
+        open_ones: dict[str, list[int]] = {c: [] for c in NESTING}
+        for j, (_, d) in enumerate(events):
+            if d in open_ones:
+                open_ones[d].append(j)
+            elif d in NESTED and open_ones[NESTED[d]]:
+                out[open_ones[NESTED[d]].pop()] = j
+        following: dict[str, int] = {}
+        for k in range(len(events) - 1, -1, -1):
+            pos, c = events[k]
+            if c in OPEN and c not in NESTING and not (c == '"' and pos + 1 < len(p) and p[pos + 1].isspace()):
+                out[k] = min((following[d] for d in OPEN[c] if d in following), default=None)
+            apostrophe = c == "’" and pos + 1 < len(p) and p[pos + 1].isalpha() and p[pos - 1].isalpha()
+            if not apostrophe:  # which closes nothing
+                following[c] = k
+        return out
 
     def _starts(self, p: str, at: int, lang: str) -> bool:
         """Whether what stands at `at` can begin a sentence: not a lower-case word, unless it
@@ -450,7 +480,11 @@ class Splitter:
         return nxt if self._starts(p, nxt, lang) else 0
 
     def _after_full_stop(self, p: str, pos: int, nxt: int, gap: bool, lang: str) -> int:
-        token = TAIL.search(p, max(0, pos - 40), pos).group()
+        at = bisect.bisect_left(self._breaks, pos) - 1
+        begin = self._breaks[at] + 1 if at >= 0 else 0
+        # Of a token longer than any abbreviation or number only the end matters.
+        dotted = p.rfind(".", begin, pos) >= 0
+        token = p[max(begin, pos - 8 * LONGEST) : pos]
         if not token:
             # The stop stands after a bracket or quotation: it ends the sentence around it.
             return nxt if gap and self._starts(p, nxt, lang) else 0
@@ -461,7 +495,7 @@ class Splitter:
             # A missing space: a word, a stop, and a capital or another script.
             plain = len(token) > 2 and token[-2:].isalpha() and known is not False
             if c.isupper():
-                return nxt if plain and token[-1].islower() and "." not in token and nxt + 1 < len(p) and not p[nxt + 1].isupper() else 0
+                return nxt if plain and token[-1].islower() and not dotted and nxt + 1 < len(p) and not p[nxt + 1].isupper() else 0
             return nxt if plain and (c.isalpha() and not c.islower() and not "฀" <= c <= "๿" or c in "“„«‘「『¿¡（") else 0
         if INTEGER.fullmatch(kind):
             word = HEAD.match(p, nxt).group(1).rstrip(",;:.!?…)]*_`").lower()
