@@ -23,6 +23,7 @@ exact copies (same id) are one row; clashing further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections import Counter
@@ -49,15 +50,17 @@ ENDS = (
 )
 TAG = re.compile(rf"</?({'|'.join(sorted(BLOCKS + INLINE, key=len, reverse=True))})(?=[\s/>])(?:\s[^<>]*|\s*)/?>", re.I)
 ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-COMMENT = re.compile(r"<!--.*?-->", re.S)
-DROPPED = re.compile(r"<(script|style)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
-PRE = re.compile(r"<pre\b[^<>]*>(.*?)</pre\s*>", re.S | re.I)
+COMMENT = re.compile("<!--"), re.compile("-->")
+DROPPED = [(re.compile(rf"<{x}\b[^<>]*>", re.I), re.compile(rf"</{x}\s*>", re.I)) for x in ("script", "style")]
+PRE = re.compile(r"<pre\b[^<>]*>", re.I), re.compile(r"</pre\s*>", re.I)
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n`]*\n(.*?)(?:^[ \t]*\1[ \t]*\r?$|\Z)", re.S | re.M)
 CODE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)")
-DISPLAY = re.compile(r"\\\[(.+?)\\\]|\$\$([^$]+)\$\$", re.S)
-FORMULA = re.compile(r"\\\(([^\n]+?)\\\)|\$([^$\n]*?(?:\\[A-Za-z]+|[\^_]\{?\w)[^$\n]*?)\$")
+DISPLAY = re.compile(r"\\\["), re.compile(r"\\\]")
+DOLLARS = re.compile(r"\$\$([^$]+)\$\$")
+FORMULA = re.compile(r"\\\("), re.compile(r"\\\)")
+DOLLAR, MATHS = re.compile(r"\$"), re.compile(r"\\[A-Za-z]+|[\^_]\{?\w")
 TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
-IMAGE = re.compile(r"!\[([^\n]*?)\]\(([^()\n]*)\)")
+IMAGE = re.compile(r"!\["), re.compile(r"\]\([^()\n]*\)")
 LINK = re.compile(r"\[([^\]\[\n]+(?:\[[^\]\[\n]*\])?)\]\([^()\n]*\)")
 REFERENCE = re.compile(r"\[([^\]\[\n]+)\]\[[^\]\[\n]*\]")
 DEFINITION = re.compile(r"^[ \t]{0,3}\[[^\]\n]+\]:[ \t]*\S+[^\n]*$", re.M)
@@ -80,11 +83,11 @@ TRAILING = re.compile(r"^(.*\S)[ \t]+#{2,6}[ \t]*$")
 RULE = re.compile(r"^[ \t]{0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 UNDERLINE = re.compile(r"^[ \t]{0,3}(={3,}|-{3,})[ \t]*$")
 QUOTE = re.compile(r"^[ \t]{0,3}>[ \t]?(?=\S)")
-ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]+(\[[ xX]\][ \t]+)?(?=\S)")
+ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(\[[ xX]\][ \t]+)?(?=\S)")
 DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$")
 WIKI_TABLE = re.compile(r"^[ \t]*(?:\{\||\|\}|\|-)")
 #: A text without any of these holds no mark.
-SUSPECT = re.compile(r"[<&`*_~#=\[{\\$|]|'{2}|^[ \t]*(?:>|[-+][ \t]|\d{1,3}[.)][ \t]|-{3,})", re.M)
+SUSPECT = re.compile(r"[<&`*_~#=\[{\\$|]|'{2}|^[ \t]*(?:>|[-+][ \t]|\d{1,9}[.)][ \t]|-{3,})", re.M)
 
 #: Control characters that stand for marks here; a text that has marks loses its own.
 OWN = {c: None for c in (2, 3, 4, 5, 14, 15)}
@@ -117,7 +120,7 @@ class Converter:
         self.text = text.translate(OWN)
 
     def _hold(self, kind: str, body: str) -> str:
-        self.held.append((kind, body))
+        self.held.append((kind, HELD.sub(lambda m: self.held[int(m.group(1))][1], body)))
         mark = f"\x02{len(self.held) - 1}\x03"
         return f"\n\n{mark}\n\n" if kind in ("code", "formula") else mark
 
@@ -135,30 +138,69 @@ class Converter:
             before = self.pieces[name]
             self._swap(name, pattern, by)
 
+    def _swap_between(self, name: str, ends: tuple[re.Pattern, re.Pattern], by, line: bool = False, least: int = 0) -> None:
+        """Swaps what stands from an opener to the next closer (on its line); each sign is looked
+        at once, so openers without closer cost nothing. by: what the inner text becomes."""
+        text = self.text
+        closers = [(m.start(), m.end()) for m in ends[1].finditer(text)]
+        if not closers:
+            return
+        begins = [a for a, _ in closers]
+        breaks = [m.start() for m in re.finditer("\n", text)] if line else []
+        out, done = [], 0
+        for m in ends[0].finditer(text):
+            if m.start() < done:
+                continue
+            at = bisect.bisect_left(begins, m.end() + least)
+            if at == len(closers):
+                break
+            if line and bisect.bisect_left(breaks, m.end()) != bisect.bisect_left(breaks, begins[at]):
+                continue
+            self.pieces[name] += 1
+            out += [text[done : m.start()], by(text[m.end() : begins[at]])]
+            done = closers[at][1]
+        self.text = "".join(out) + text[done:]
+
+    def _dollars(self) -> None:
+        """$formula$: two signs on a line with signs of mathematics between them."""
+        text = self.text
+        out, done, last = [], 0, -1
+        for m in DOLLAR.finditer(text):
+            at = m.start()
+            if last >= 0 and text.find("\n", last + 1, at) < 0 and MATHS.search(text, last + 1, at):
+                self.pieces["latex"] += 1
+                out += [text[done:last], self._hold("inline", text[last + 1 : at].strip())]
+                done, last = at + 1, -1
+            else:
+                last = at
+        self.text = "".join(out) + text[done:]
+
     def run(self) -> list[Leaf]:
         linked = lambda m: f"\x0e{m.group(1) or ''}\x0f"
-        inner = lambda m: next((g for g in m.groups() if g is not None), "")
         t = self.text
         if "<!--" in t:
-            self._swap("html", COMMENT, lambda m: "")
+            self._swap_between("html", COMMENT, lambda inner: "")
         if "```" in t or "~~~" in t:
             self._swap("markdown", FENCE, lambda m: self._hold("code", m.group(2).rstrip("\r\n")))
         if "<" in t:
-            self._swap("html", DROPPED, lambda m: "")
-            self._swap("html", PRE, lambda m: self._hold("code", html.unescape(TAG.sub("", m.group(1))).strip("\r\n")))
+            for ends in DROPPED:
+                self._swap_between("html", ends, lambda inner: "")
+            self._swap_between("html", PRE, lambda inner: self._hold("code", html.unescape(TAG.sub("", inner)).strip("\r\n")))
         if "`" in t:
             self._swap("markdown", CODE, lambda m: self._hold("inline", m.group(1)))
         if "\\[" in t or "$$" in t:
-            self._swap("latex", DISPLAY, lambda m: self._hold("formula", inner(m).strip()))
+            self._swap_between("latex", DISPLAY, lambda inner: self._hold("formula", inner.strip()), least=1)
+            self._swap("latex", DOLLARS, lambda m: self._hold("formula", m.group(1).strip()))
         if "\\" in t or "$" in t:
-            self._swap("latex", FORMULA, lambda m: self._hold("inline", inner(m).strip()))
+            self._swap_between("latex", FORMULA, lambda inner: self._hold("inline", inner.strip()), line=True, least=1)
+            self._dollars()
             self._swap("latex", TEX_NOTE, lambda m: "")
             self._swap("latex", TEX_RANGE, lambda m: "\n\n")
             self._swap("latex", TEX_ITEM, lambda m: "\x05")
             self._swap("latex", TEX_HEAD, lambda m: f"\n\n\x04{m.group(2)}\n\n")
             self._swap_all("latex", TEX_COMMAND, lambda m: m.group(1))  # commands within commands
         if "[" in t:
-            self._swap("markdown", IMAGE, lambda m: m.group(1))
+            self._swap_between("markdown", IMAGE, lambda inner: inner, line=True)
             self._swap("wiki", WIKI_LINK, linked)
             self._swap("wiki", OUTSIDE, linked)
             self._swap("markdown", LINK, linked)

@@ -74,3 +74,38 @@ def test_nesting_of_any_depth_leaves_no_residue():
     for depth in (4, 7, 300):
         assert convert("A " + "\\emph{" * depth + "x" + "}" * depth + " b")[0] == "A x b"
         assert convert("A " + "{{t|" * depth + "v" + "}}" * depth + " b")[0] == "A v b"
+
+
+@pytest.mark.parametrize("opener", ["![a ", "<!-- ", "\\[a ", "\\(a ", "$a ", "$x_1 ", "<pre>", "<script>", "[a](", "**a ", "_a ", "{{a ", "\\a{b ", "~~a "])
+def test_a_hundred_thousand_openers_take_linear_time(opener):
+    import time
+
+    began = time.perf_counter()
+    convert(opener * 100_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_marks_within_marks_leave_nothing_behind():
+    assert convert("\\(a `b` c\\)")[0] == "a b c" and convert("1234. item\n56789. more")[0] == "• item\n• more"
+    for text in ("$`x`_1$", "\\[ `a` \\]", "<pre>`x`</pre>"):
+        assert not any(ord(c) < 9 for c in convert(text)[0])
+
+
+PAGE = """<html><body><header><a href="/">Home</a> <a href="/b">Blog</a></header>
+<div id="side"><ul>{links}</ul></div>
+<div id="main">{parts}</div>
+<footer><a href="/i">Imprint</a> <a href="/p">Privacy</a></footer></body></html>"""
+
+
+def test_the_main_part_of_pages_is_kept_and_menus_are_not():
+    """Twenty pages of other makes: words of the articles kept, words of menus dropped."""
+    kept = dropped = articles = menus = 0
+    for n in range(20):
+        links = "".join(f'<li><a href="{i}">menu{n}x{i} entry</a></li>' for i in range(6 + n))
+        parts = "".join(f"<{'p' if n % 2 else 'section'}>part{n}x{i}, " + "plain words of an article, with commas, " * (2 + (n + i) % 4) + f"</{'p' if n % 2 else 'section'}>" for i in range(2 + n % 5))
+        got = convert(PAGE.format(links=links, parts=parts))[0]
+        articles += 2 + n % 5
+        menus += 6 + n
+        kept += sum(f"part{n}x{i}," in got for i in range(2 + n % 5))
+        dropped += sum(f"menu{n}x{i} " not in got for i in range(6 + n))
+    assert kept == articles and dropped >= 0.9 * menus, (kept / articles, dropped / menus)
