@@ -6,16 +6,17 @@ signed axes, or sums of one axis each of two rotations, that lie nearest. Severa
 with multiprobe collect candidates, which are compared by their cosines. One path serves
 every size:
 
-1. Where to send a vector. The first table has `SPREAD` cells (more where a cell would have
-   over `most` vectors on average, fewer where under `FEW`), and a vector goes to its `probes` nearest ones. A cell
-   that still holds more than `most`, as a crowd does, is divided by a rotation of its own
-   around its own mean, and so on: a tree of cells, which two sums a cell decide.
+1. Where to send a vector. The first table has `SPREAD` cells (more cells and probes where a
+   cell would hold over `most` / 2 on average, fewer cells where under `FEW`), and a vector
+   goes to its `probes` nearest ones. A cell that still holds more than `most`, as a crowd
+   does, is divided by a rotation of its own around its own mean, and so on: a tree of
+   cells, which a count and a sum of each cell decide.
 2. What to compare. Inside a cell, in one task, `tables` further tables are laid around the
    cell's own mean; every vector is entered in its `entered` nearest fine cells and looked
    up in its `asked` nearest ones. A fine cell into which a crowd has fallen is solved the
    same way again. There are so many fine cells that a vector meets about
    `WORK * (n / 11,000) ** 0.3` others of a cell of n vectors: candidates grow with the
-   0.3th power of the rows, and copies (what is shuffled) not at all.
+   0.3th power of the rows; copies (what is shuffled) are 7 up to 36 million rows.
 3. Lists of all cells are merged to the k best; `exact` takes their cosines anew from the
    vectors as given.
 
@@ -43,10 +44,13 @@ from pyspark.sql import functions as F
 
 from inkwell.sources.tables import shared_dir
 
-#: Cells of the first table; vectors that one task compares with each other (256 MB of 16-bit steps).
-SPREAD, MOST = 128, 2_000_000
+#: Cells of the first table; vectors that one task compares with each other (half
+#: as many on average at most: 450 MB with the best found so far).
+SPREAD, MOST = 128, 4_000_000
 #: Vectors on average in a cell of a small table, which has fewer cells instead of emptier ones.
 FEW = 1_000
+#: How probes grow with the cells beyond SPREAD.
+PROBES_GROW = 0.43
 #: Cells of a divided cell that a vector goes to.
 DIVIDED = 5
 #: Others that a vector meets in a cell of 11,000, and how that grows with the cell.
@@ -395,6 +399,20 @@ def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[order], who[order], score[order]
 
 
+def first_table(rows: int, probes: int, most: int) -> tuple[int, int]:
+    """(cells, probes): cells hold `most` / 2 vectors on average at most, so that only crowds
+    exceed `most`; more cells take more probes, so that neighbours still share one."""
+    if probes * rows / FEW <= SPREAD:
+        count = int(probes * rows / FEW)
+        return (count, probes) if count > probes else (1, probes)
+    count, p, before = float(SPREAD), probes, 0
+    while p != before:
+        before = p
+        count = max(float(SPREAD), 2 * p * rows / most)
+        p = max(before, math.ceil(probes * (count / SPREAD) ** PROBES_GROW))
+    return int(count), p
+
+
 def planted(source: DataFrame, dim: int, probes: int, most: int, seed: int) -> tuple[Tree, np.ndarray] | None:
     """(tree, vectors in each leaf); None without usable vectors. A pass over the vectors for
     each level: a count and a sum of every leaf come to the driver, never rows."""
@@ -426,8 +444,8 @@ def planted(source: DataFrame, dim: int, probes: int, most: int, seed: int) -> t
     n, total = measure((1, lambda x: (np.arange(len(x)), np.zeros(len(x), np.int64))))
     if not n[0]:
         return None
-    count = max(min(SPREAD, probes * n[0] / FEW), probes * n[0] / most)
-    tree = Tree(Cells(total[0] / n[0], int(count) if count > probes else 1, seed), probes)
+    count, probes = first_table(int(n[0]), probes, most)
+    tree = Tree(Cells(total[0] / n[0], count, seed), probes)
     whole: set[int] = set()  # leaves that no rotation parts
     while True:
         n, total = measure((tree.leaves, tree.of))
