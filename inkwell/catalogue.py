@@ -66,7 +66,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, folder: str) -> bm25.Index:
-    return bm25.build(_chunks(spark, folder), "chunk_id", "text")
+    return bm25.lay(_chunks(spark, folder), "chunk_id", "text")
 
 
 def _terms(spark: SparkSession, text: str, relaxed: bool = False) -> DataFrame:
@@ -127,7 +127,11 @@ def bm25_filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _top(bm25.search(_index(spark, folder), _terms(spark, "the review"), keep=keep))
 
 
-@query()
+_ASKED = "itexts as (select item_id as id, text from eval_items)"
+_ASKED_RUNS = RUNS.replace("texts", "itexts").replace("runs", "iruns").replace("toks", "itoks")
+
+
+@query(f"with {CHUNK_TEXTS}, {RUNS}, {_ASKED}, {_ASKED_RUNS}, q as (select id as query_id, term, 1 as mult, 0 as wanted from itoks group by all), {BM25} {TOP.format('')}")
 def bm25_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
     """All evaluation items as relaxed queries in one plan, with all of their terms."""
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -380,6 +384,18 @@ def semantic_segment_max(spark: SparkSession, folder: str) -> DataFrame:
     return semantic.chunk_best(semantic.similarities(units, q)).select("chunk_id", "best_seg", F.round("sim", 6).alias("sim"))
 
 
+@query(
+    """with u as (select distinct on (seg_id) seg_id as id, vec::double[] as v from segments where len(vec) = 64 and len(list_filter(vec, lambda x: isnan(x) or isinf(x) or x is null)) = 0 and list_dot_product(vec::double[], vec::double[]) > 0),
+s as (select q.id as query_id, r.id, round(list_dot_product(q.v, r.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(r.v, r.v)), 9) as sim from u q, u r where q.id % 100 = 0)
+select query_id, id as seg_id, rank, round(sim, 6) as sim from (select *, row_number() over (partition by query_id order by sim desc, id)::int as rank from s) where rank <= 10"""
+)
+def semantic_batch_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch of queries, every segment whose id is divisible by 100, against all segments."""
+    rows = table(spark, folder, "segments").select(F.col("seg_id").alias("id"), "vec")
+    top = semantic.batch_topk(rows.where("id % 100 = 0").withColumnRenamed("id", "query_id"), rows)
+    return top.select("query_id", F.col("id").alias("seg_id"), "rank", F.round("sim", 6).alias("sim"))
+
+
 @query(f"with {SIM}, {CENT} select file_id, round(cent, 5) as cent from cent")
 def file_centroid_cosine(spark: SparkSession, folder: str) -> DataFrame:
     units, q = _units(spark, folder)
@@ -572,8 +588,10 @@ def known_item_queries(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """One search over the vault's tables with text, date and path filters and vectors."""
-    from inkwell.operators.embed import HashingEmbedder
+    from inkwell.operators.embed import HashingEmbedder, embedded
     from inkwell.operators.service import SearchService
 
-    rel = {"files": _files(spark, folder), "chunks": _chunks(spark, folder), "frontmatter": table(spark, folder, "frontmatter"), "links": _resolved(spark, folder), "segments": table(spark, folder, "segments").dropDuplicates(["chunk_id", "seg"])}
+    # The tables' vectors are of an unknown model: texts and query get vectors of the same one.
+    own = table(spark, folder, "segments").where("text is not null").dropDuplicates(["chunk_id", "seg"]).select("chunk_id", "file_id", F.col("seg").cast("int").alias("seg"), "text", F.col("text").alias("input"))
+    rel = {"files": _files(spark, folder), "chunks": _chunks(spark, folder), "frontmatter": table(spark, folder, "frontmatter"), "links": _resolved(spark, folder), "segments": embedded(own, HashingEmbedder(64))}
     return SearchService(rel, HashingEmbedder(64)).search("watcher notes path:inbox", now=1.79e9)

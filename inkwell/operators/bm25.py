@@ -5,10 +5,13 @@ idf = ln((N - n + 0.5) / (n + 0.5)), a non-positive idf counts as 1e-6, and the
 negative, smaller is better. Corpus numbers are always those of all records: a filter on
 records changes neither N nor n nor the mean length.
 
-Only postings of wanted terms are joined: the terms of all queries are few next to the
-index, and meet it on the term (a file sorted by term is pruned by it). Scores are summed
-with partial aggregates; the best of each query by a ranked window that Spark limits before
-the shuffle.
+Texts are tokenised once: `build` describes the index, `lay` writes it to the shared folder,
+from where any number of searches read it. Only postings of wanted terms are joined: the
+terms of all queries are laid down, and as long as they are small (the planner sees their
+size) they are broadcast, so that a stop word's postings stay where they are; else both
+sides are shuffled by term. A term's number of records is counted over its own postings.
+Scores are summed with partial aggregates; the best of each query by a ranked window that
+Spark limits before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import RELAXED_MOST, tokens
+from inkwell.sources.tables import shared_dir
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 @dataclass
 class Index:
-    """postings(term, id, tf), lengths(id, dl), document frequencies df(term, n)."""
+    """postings(term, id, tf, dl), lengths(id, dl), document frequencies df(term, n)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -39,7 +43,23 @@ class Index:
 def build(records: DataFrame, id_col: str, text_col: str) -> Index:
     """The index of records (each id once); records without terms count with length 0."""
     tok = records.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
-    postings = tok.select("id", F.explode("toks").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    each = tok.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    postings = each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"))
+    return Index(postings, tok.select("id", F.size("toks").alias("dl")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def lay(records: DataFrame, id_col: str, text_col: str) -> Index:
+    """build(), written to the shared folder: records as lists of terms with their counts,
+    tokenised once, then read as postings and as lengths."""
+    spark, folder = records.sparkSession, shared_dir(records.sparkSession)
+    tok = records.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
+    kind = tok.schema["id"].dataType.simpleString()
+    tok.write.parquet(f"{folder}/tokens")
+    tok = spark.read.schema(f"id {kind}, toks array<string>").parquet(f"{folder}/tokens")
+    each = tok.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # A record's tokens lie in one row, so its terms are counted without looking elsewhere.
+    each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl")).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    postings = spark.read.schema(f"term string, id {kind}, tf int, dl int").parquet(f"{folder}/postings")
     return Index(postings, tok.select("id", F.size("toks").alias("dl")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -58,11 +78,14 @@ def search(index: Index, terms: DataFrame, strict: bool = True, keep: DataFrame
 
     keep: ids to restrict the result to, or (query_id, id) for a filter of each query.
     """
+    spark, folder = terms.sparkSession, shared_dir(terms.sparkSession)
+    terms.write.parquet(f"{folder}/terms")
+    terms = spark.read.schema(terms.schema).parquet(f"{folder}/terms")
     hits = index.postings.join(terms, "term")
+    n = index.postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     if keep is not None:
         hits = hits.join(keep, ["query_id", "id"] if "query_id" in keep.columns else "id", "left_semi")
-    stats = F.broadcast(index.stats())  # one row
-    hits = hits.join(index.df, "term").join(index.lengths, "id").join(stats)
+    hits = hits.join(n, "term").join(F.broadcast(index.stats()))  # stats: one row
     idf = F.log((F.col("n_records") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

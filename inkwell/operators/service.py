@@ -23,12 +23,12 @@ class SearchService:
 
     def __init__(self, relations: dict[str, DataFrame], embedder=None, aliases: list[list[str]] = (), zone: str = "UTC"):
         self.r, self.embedder, self.aliases, self.zone = relations, embedder, list(aliases), zone
-        self.index = bm25.build(relations["chunks"], "chunk_id", "text")
+        self.index = bm25.lay(relations["chunks"], "chunk_id", "text")
         self.spark = relations["chunks"].sparkSession
 
     def cache(self) -> SearchService:
-        """Keeps postings and lengths in memory for many queries."""
-        for df in (self.index.postings, self.index.lengths, self.index.df):
+        """Keeps the laid-down postings and lengths in memory for many queries."""
+        for df in (self.index.postings, self.index.lengths):
             df.cache()
         return self
 
