@@ -230,6 +230,7 @@ marks as (select doc_id, n, left(bare, 3) as m from body where left(bare, 3) in
 fence as (select b.*, left(bare, 3) in ('```', '~~~') as is_mark, sum(case when left(bare, 3) in ('```', '~~~') then 1 else 0 end) over (partition by doc_id order by n) as k from body b),
 free as (select doc_id, n, line, bare from fence where k % 2 = 0 and not is_mark),
 opens as (select doc_id, n, bare from fence where is_mark and k % 2 = 1)"""
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288)"
 STRIP = r"trim(regexp_replace(regexp_replace({0}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]|~~', '', 'g'))"
 
 
@@ -262,18 +263,51 @@ def md_links(spark: SparkSession, folder: str) -> DataFrame:
     return markdown.relation(_parsed(spark, folder), "doc_id", "links").groupBy("doc_id", "kind", "target_path", "anchor").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_HEAD_TEXT = STRIP.format("regexp_replace(trim(regexp_extract(line, '^#{1,6} (.*)$', 1)), '#+$', '')")
+
+
+@query(
+    rf"""with {LINES}, h0 as (select doc_id, n, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) as level, {_HEAD_TEXT} as text from free where regexp_matches(line, '^#{{1,6}} ')),
+h1 as (select *, trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_ -]', '', 'g'), '[ -]+', '-', 'g'), '-') as base from h0 where text <> ''),
+h as (select *, case when row_number() over w = 1 then base else base || '-' || (row_number() over w - 1) end as slug from h1 window w as (partition by doc_id, base order by n)),
+up as (select h.doc_id, h.n, string_agg(g.text, ' > ' order by g.n) as path from h join h g on g.doc_id = h.doc_id and g.n <= h.n
+  and (g.n = h.n or g.level < h.level) and not exists (select 1 from h k where k.doc_id = h.doc_id and k.n > g.n and k.n < h.n and k.level <= g.level) group by all),
+first as (select doc_id, min(n) as n from body group by doc_id),
+s as (select doc_id, n, slug, path from h join up using (doc_id, n) union all select doc_id, n, '', '' from first where not exists (select 1 from h where h.doc_id = first.doc_id and h.n = first.n)),
+e as (select *, coalesce(lead(n) over (partition by doc_id order by n) - 1, (select max(b.n) from body b where b.doc_id = s.doc_id)) as last from s),
+t as (select e.doc_id, slug as heading_slug, path as heading_path, trim(string_agg(b.line, chr(10) order by b.n), {WHITE}) as text, e.n::int as start_line, e.last::int as end_line from e join body b on b.doc_id = e.doc_id and b.n between e.n and e.last group by all)
+select * from t where text <> ''"""
+)
 def md_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of all documents with slugs, breadcrumbs and lines."""
     return markdown.relation(_parsed(spark, folder), "doc_id", "chunks")
 
 
-@query()
+@query(
+    rf"""with {LINES}, l as (select r.doc_id, r.n, r.line, trim(r.line, {WHITE}) as bare from raw r join fm on r.doc_id = fm.doc_id where r.n > 1 and r.n < fm.fm_end),
+k as (select *, bare like '- %' as item, trim(split_part(line, ':', 1), {WHITE}) as key, trim(substring(line, instr(line, ':') + 1), {WHITE}) as v from l where bare <> '' and (bare like '- %' or instr(line, ':') > 0)),
+o as (select *, last_value(case when not item then key end ignore nulls) over w as under, last_value(case when not item then v end ignore nulls) over w as under_v from k window w as (partition by doc_id order by n rows unbounded preceding)),
+p as (select doc_id, n, under as key, [trim(substring(bare, 3), {WHITE})] as vs from o where item and under_v = ''
+  union all select doc_id, n, key, case when v like '[%]' then list_transform(string_split(v[2:-2], ','), lambda x: trim(x, {WHITE})) else [v] end from o where not item and v <> '' and key <> ''),
+q as (select doc_id, n, key, unnest(vs) as v, generate_subscripts(vs, 1) as i from p),
+u as (select doc_id, n, i, lower(key) as key, case when length(v) >= 2 and left(v, 1) = right(v, 1) and left(v, 1) in (chr(34), chr(39)) then v[2:-2] else v end as value from q)
+select doc_id, (row_number() over (partition by doc_id order by n, i) - 1)::int as pos, key, value from u where value <> ''"""
+)
 def md_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
     return markdown.relation(_parsed(spark, folder), "doc_id", "frontmatter")
 
 
-@query()
+@query(
+    rf"""with c as (select distinct chunk_id, trim(text, {WHITE}) as whole from chunks where trim(text, {WHITE}) <> ''),
+p as (select chunk_id, whole, unnest(regexp_split_to_array(whole, '\n(?:[^\S\n]*\n)+')) as p, generate_subscripts(regexp_split_to_array(whole, '\n(?:[^\S\n]*\n)+'), 1) as i from c),
+j as (select chunk_id, whole, i, array_to_string(list_transform(string_split(p, chr(10)), lambda x: trim(x, {WHITE})), ' ') as p from p),
+r as (select chunk_id, whole, i, case when length(p) <= 220 then [p] else list_reduce(list_transform(regexp_extract_all(p, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$'), lambda x: [x]),
+  lambda acc, x: case when length(acc[-1]) + length(x[1]) > 220 then list_append(acc, x[1]) else list_append(acc[:-2], acc[-1] || x[1]) end) end as runs from j),
+k as (select chunk_id, i, unnest(runs) as segment, generate_subscripts(runs, 1) as n, len(runs) as most from r),
+good as (select * from k where n < most or length(segment) >= 4),
+found as (select chunk_id, (row_number() over (partition by chunk_id order by i, n) - 1)::int as seg, segment from good)
+select * from found union all select chunk_id, 0, left(whole, 220) from c where chunk_id not in (select chunk_id from good)"""
+)
 def segment_text(spark: SparkSession, folder: str) -> DataFrame:
     return markdown.segmented(_chunks(spark, folder))
 
