@@ -120,6 +120,41 @@ def positions(text: Column, term: str, most: int = 5000) -> Column:
     return F.slice(ends, 1, most)
 
 
+def stepped(positions: Column, current: Column, forward: bool = True) -> Column:
+    """The number (from 0) of the next or previous occurrence, around the ends; null for none."""
+    n = F.size(positions)
+    return F.when(n > 0, F.pmod(current + (1 if forward else -1), n))
+
+
+def landing(section: Column, terms: list[str], phrase: Column | None = None) -> Column:
+    """Where to land in a section whose first line is its heading: struct(by, line, at, length).
+
+    The first line below the heading that holds a term (case aside), and there the term that
+    stands first; else the same with `phrase`; else the heading. A section of its heading
+    alone is searched itself; lines and places count from 0.
+    """
+    lines = F.split(F.coalesce(section, F.lit("")), "\n")
+    alone = F.size(lines) < 2
+    body = F.when(alone, lines).otherwise(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))))
+    first = F.when(alone, 0).otherwise(1)
+
+    def found(by: str, wanted: list[Column]) -> Column:
+        def place(line: Column, n: Column) -> Column:
+            at = [F.struct(F.nullif(F.instr(F.lower(line), w), F.lit(0)).alias("at"), F.length(w).alias("length")) for w in wanted]
+            best = F.array_min(F.filter(F.array(*at), lambda x: x["at"].isNotNull()))
+            return F.struct(F.lit(by).alias("by"), (n + first).cast("int").alias("line"), (best["at"] - 1).alias("at"), best["length"].alias("length"))
+
+        return F.get(F.filter(F.transform(body, place), lambda x: x["at"].isNotNull()), F.lit(0))
+
+    heading = F.struct(F.lit("heading").alias("by"), F.lit(0).alias("line"), F.lit(0).alias("at"), F.length(lines[0]).alias("length"))
+    some = [F.lit(t.lower()) for t in terms if t]
+    tries = [found("term", some)] if some else []
+    if phrase is not None:
+        own = F.lower(phrase)
+        tries.append(F.when(F.coalesce(F.length(own) > 0, F.lit(False)), found("phrase", [own])))
+    return F.coalesce(*tries, heading)
+
+
 def alerts(text: Column) -> Column:
     """Kinds of the alert blocks (`> [!NOTE]` and the like) of a Markdown text, in order."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^[ \t]*>[ \t]*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]"), F.lit(1))

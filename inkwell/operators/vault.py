@@ -168,15 +168,21 @@ class Vault:
         """Links with their targets, resolved anew from the current files."""
         return resolve(self.read("links"), self.read("files"))
 
-    def embed_missing(self, embedder) -> int:
+    def embed_missing(self, embedder, most: int | None = None) -> int:
         """Vectors for chunks that have none: segments, embedded in Arrow batches. A chunk
-        without segments gets a marker with an empty vector, so it isn't tried again."""
+        without segments gets a marker with an empty vector, so it isn't tried again. most:
+        chunks of this round, any of those that wait; the others are left for the next."""
         from inkwell.operators.embed import embedded
 
         state = self.state()
         self.use_model(embedder.identifier)
         chunks, files = self.read("chunks"), self.read("files").select("file_id", "title")
         todo = chunks.join(self.read("segments").select("chunk_id").distinct(), "chunk_id", "left_anti")
+        if most is not None:
+            # Which rows a limit takes may differ from job to job, so they are laid down.
+            waiting = f"{shared_dir(self.spark)}/waiting"
+            todo.limit(most).write.parquet(waiting)
+            todo = self.spark.read.schema(todo.schema).parquet(waiting)
         segs = segmented(todo)
         context = F.concat_ws(" ▸ ", F.nullif("title", F.lit("")), F.nullif("heading_path", F.lit("")))
         full = segs.join(todo.select("chunk_id", "file_id", "heading_path"), "chunk_id").join(files, "file_id", "left")
