@@ -126,13 +126,14 @@ class LatestOnly:
         self._lock = threading.Lock()
 
     def run(self, work: Callable[[], T]) -> T | None:
-        """work() under this search's tag; None if a newer search took over meanwhile."""
+        """work() under this search's tag; None if a newer search took over meanwhile. Jobs of
+        the older one that run are cancelled; one it starts later ends by itself, unused."""
         with self._lock:
             self.n += 1
             mine, tag = self.n, f"{self.name}-{self.n}"
             if mine > 1:
-                self.spark.interruptTag(f"{self.name}-{mine - 1}")
-        self.spark.addTag(tag)
+                self.spark.sparkContext.cancelJobsWithTag(f"{self.name}-{mine - 1}")
+        self.spark.sparkContext.addJobTag(tag)
         try:
             out = work()
         except Exception:
@@ -140,7 +141,7 @@ class LatestOnly:
                 return None
             raise
         finally:
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
         return out if mine == self.n else None
 
 

@@ -95,7 +95,7 @@ def test_only_the_latest_search_counts(spark):
     t = threading.Thread(target=lambda: got.update(old=latest.run(slow)))
     t.start()
     latest_started.wait(10)
-    time.sleep(1)
+    time.sleep(4)
     began = time.perf_counter()
     got["new"] = latest.run(lambda: spark.range(7).count())
     t.join(60)
