@@ -1,7 +1,8 @@
 """Evaluation passages inside a training corpus (problem 9).
 
 Method: template canonicalisation. Words of the held-out items and of the documents are
-brought to one form (see `Words`); numbers, units and names become typed placeholders, and
+brought to one form (see `Words`); numbers, units and names become typed placeholders (names
+and units are learned from the whole held-out set, see `Lexicon`), and
 the hash of every ten (for Japanese and Chinese: sixteen characters) in a row is a template
 window. Windows of documents are joined by hash with those of the items; then the slots of
 each matched window are compared: all slots equal is a verbatim window, slots that are
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,12 @@ from inkwell.llm.bpe import CUT, slices
 
 WORDS, CHARS = 10, 16
 MOST_SENT = 2_000_000
+#: Items whose words are looked at together.
+LEARNED_AT_ONCE = 5_000
 ODD, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 NUMBER_SLOT, NAME_SLOT, UNIT_SLOT = np.uint64(11), np.uint64(13), np.uint64(17)
-#: Units of measure that may be exchanged between variants of a question (fixed values).
-UNITS = """percent prozent seconds sekunden segundos secondes minutes minuten minutos hours stunden horas heures
-days tage dias jours kg g mg km m cm mm ml l mb gb kb ms""".split()
+#: A unit is a word that follows a number at least so often, and in such a share of its uses.
+UNIT_TIMES, UNIT_SHARE = 2, 0.5
 
 #: Number signs that are no digits (superscripts, fractions, enclosed numbers) only separate.
 SIGNS = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f\u2150-\u218f\u2460-\u24ff\u2776-\u2793]")
@@ -157,13 +160,6 @@ class Words:
         self.count = n
 
 
-def word_hash(word: str) -> int:
-    h = 0
-    for c in word:
-        h = (h * int(ODD) + ord(c) + 7) % 2**64
-    return h
-
-
 def windows(code: np.ndarray, text: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """Hashes of the windows of `width` codes that begin at the positions `at`."""
     h = np.zeros(len(at), np.uint64)
@@ -184,25 +180,59 @@ def starts(text: np.ndarray, width: int, known: np.ndarray | None = None) -> np.
     return np.flatnonzero(ok)
 
 
+def mostly_cjk(w: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether most letters and digits of each text are CJK, their number)."""
+    cjk = np.bincount(w.char_text[w.char_kind == CJK], minlength=texts)
+    every = np.bincount(w.char_text, minlength=texts)
+    return cjk * 2 > every, every
+
+
+class Lexicon:
+    """What the whole held-out set tells about words, whatever blocks it is compared in: names
+    (words that have a capital wherever they are used, and not only where a text begins), units
+    (words that mostly follow a number), all words, and all characters of CJK items."""
+
+    def __init__(self):
+        none = np.zeros(0, np.uint64)
+        self.known, self.lower, self.inner = none, none, none
+        self.after, self.total = Counter(), Counter()
+        self.known_chars = np.zeros(0, np.uint32)
+
+    def add(self, texts: list[str]) -> None:
+        w = Words(texts)
+        by_char, _ = mostly_cjk(w, len(texts))
+        first = np.concatenate([[True], w.text[1:] != w.text[:-1]]) if len(w.text) else np.zeros(0, bool)
+        behind = np.concatenate([[False], w.digit[:-1] & ~first[1:]]) if len(w.text) else first
+        plain_word = ~w.digit
+        self.total.update(dict(zip(*(v.tolist() for v in np.unique(w.word[plain_word], return_counts=True)))))
+        self.after.update(dict(zip(*(v.tolist() for v in np.unique(w.word[plain_word & behind], return_counts=True)))))
+        self.known = np.union1d(self.known, w.word)
+        self.lower = np.union1d(self.lower, w.word[~w.big])
+        self.inner = np.union1d(self.inner, w.word[w.big & ~first])
+        self.known_chars = np.union1d(self.known_chars, w.char[np.isin(w.char_text, np.flatnonzero(by_char))])
+
+    @property
+    def names(self) -> np.ndarray:
+        return np.setdiff1d(self.inner, self.lower)
+
+    @property
+    def units(self) -> np.ndarray:
+        some = [h for h, n in self.after.items() if n >= UNIT_TIMES and n >= UNIT_SHARE * self.total[h]]
+        return np.array(sorted(some), np.uint64)
+
+
 class Items:
-    """The held-out items: their words, slots and windows. Built on the driver; small."""
+    """The held-out items of a block: their words, slots and windows. Built on the driver."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], lexicon: Lexicon | None = None):
         rows = sorted({(i, t) for i, t in rows if i is not None and t})
+        if lexicon is None:
+            lexicon = Lexicon()
+            lexicon.add([t for _, t in rows])
         self.ids = np.array([i for i, _ in rows], np.int64)
         w = Words([t for _, t in rows])
-        cjk = np.bincount(w.char_text[w.char_kind == CJK], minlength=len(rows))
-        every = np.bincount(w.char_text, minlength=len(rows))
-        self.by_char = cjk * 2 > every
-        units = np.array(sorted(word_hash(u) for u in UNITS), np.uint64)
-        self.units = units
-        # Names: words that have a capital wherever the items use them, and not only where
-        # a sentence begins.
-        lower = np.unique(w.word[~w.big])
-        first = np.concatenate([[True], w.text[1:] != w.text[:-1]]) if len(w.text) else np.zeros(0, bool)
-        self.names = np.setdiff1d(np.unique(w.word[w.big & ~first]), lower)
-        self.known = np.unique(w.word)
-        self.known_chars = np.unique(w.char[np.isin(w.char_text, np.flatnonzero(self.by_char))])
+        self.by_char, every = mostly_cjk(w, len(rows))
+        self.units, self.names, self.known, self.known_chars = lexicon.units, lexicon.names, lexicon.known, lexicon.known_chars
         self.lengths = np.where(self.by_char, every, np.bincount(w.text, minlength=len(rows)))
         self.parts = {}
         code = self.codes(w)
@@ -320,16 +350,23 @@ def leaks(
     blocks = max(1, -(-int(size) // (8 * most_sent)))
     wanted = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     source = docs.select(F.col(doc_id).cast("bigint"), F.col(text_col).cast("string")).where(F.col(doc_id).isNotNull() & F.col(text_col).isNotNull())
+    lexicon, held = Lexicon(), []
+    for r in wanted.toLocalIterator():
+        held.append(r.t)
+        if len(held) == LEARNED_AT_ONCE:
+            lexicon.add(held)
+            held = []
+    lexicon.add(held)
     found = None
     for block in range(blocks):
-        part = _block(source, wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else wanted)
+        part = _block(source, wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else wanted, lexicon)
         found = part if found is None else found.unionByName(part)
     # Repeated rows of a document, and two texts of one item, count once: the larger cover.
     return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("verbatim").alias("verbatim"), F.max("covered").alias("covered"))
 
 
-def _block(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    held = source.sparkSession.sparkContext.broadcast(Items([(r.i, r.t) for r in wanted.collect()]))
+def _block(source: DataFrame, wanted: DataFrame, lexicon: Lexicon) -> DataFrame:
+    held = source.sparkSession.sparkContext.broadcast(Items([(r.i, r.t) for r in wanted.collect()], lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = held.value

@@ -89,3 +89,51 @@ def test_long_targets_and_tags_hold_no_words():
     prose = "some words that go on " * 20
     assert plain(f"open [x]({prose}) end").split() == f"open [x]({prose}) end".split()
     assert plain(f"a <b {prose}\n\nc=1> end").split() == f"a b {prose} c=1> end".split()
+
+
+def test_units_and_names_are_learned_from_the_whole_set():
+    from inkwell.llm.leaks import Lexicon
+
+    hashes = lambda text: Lexicon_of(text).known
+
+    def Lexicon_of(*texts):  # noqa: N802
+        x = Lexicon()
+        for t in texts:
+            x.add([t])
+        return x
+
+    x = Lexicon_of("grew by 12 percent when Kalo saw 3 kg of it", "and 40 percent less than 9 kg here", "The word of 5 words", "word by word")
+    y = Lexicon()
+    y.add(["word by word", "The word of 5 words", "and 40 percent less than 9 kg here", "grew by 12 percent when Kalo saw 3 kg of it"])
+    assert set(x.units) == set(y.units) == set(hashes("percent kg")) and set(x.names) == set(y.names) == set(hashes("Kalo"))
+
+
+def test_reparameterised_passages_are_told_from_others(spark):
+    """Forty questions, each with other numbers, units and names, and with other words."""
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    items, docs, truth = [], [], {}
+    for n in range(40):
+        w = list(rng.choice(words, 24, replace=False))
+        for at, value in ((4, f"{n + 3}"), (5, "percent" if n % 2 else "kg"), (12, f"Name{chr(97 + n % 26)}{chr(97 + n // 26)}")):
+            w[at] = value
+        items.append((n, " ".join(w)))
+        new = list(w)
+        if n % 4 == 0:
+            new[4], new[5], new[12] = f"{n + 50}", "kg" if n % 2 else "percent", "Other" + w[12][4:]
+            truth[n] = "template"
+        elif n % 4 == 1:
+            truth[n] = "verbatim"
+        elif n % 4 == 2:
+            for at in range(2, 24, 5):
+                new[at] = words[int(rng.integers(400))] + "x"
+            truth[n] = "other"
+        else:
+            new = list(rng.permutation(w))
+            truth[n] = "other"
+        docs.append((n, "So it began. " + " ".join(new) + " and so on."))
+    got = {}
+    for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect():
+        if r.doc_id == r.item_id:
+            got[r.doc_id] = "verbatim" if 2 * r.verbatim >= r.words else "template" if 2 * r.covered >= r.words else "other"
+    assert {n: got.get(n, "other") for n in truth} == truth
