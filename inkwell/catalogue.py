@@ -103,18 +103,24 @@ def _top(scored: DataFrame, k: int = 20) -> DataFrame:
     return bm25.best(scored.withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), k).select("query_id", F.col("id").alias("chunk_id"), "bm25", "rank")
 
 
+def _first(scored: DataFrame, k: int = 20) -> DataFrame:
+    """_top() of one query: the best are taken before they are numbered."""
+    top = scored.select(F.lit(1).alias("query_id"), "id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "id").limit(k)
+    return bm25.best(top, F.col("bm25"), k).select("query_id", F.col("id").alias("chunk_id"), "bm25", "rank")
+
+
 TOP = "select query_id, id as chunk_id, bm25, rank from (select query_id, id, bm25, row_number() over (partition by query_id order by bm25, id)::int as rank from (select query_id, id, round(bm25, 6) as bm25 from sc {0})) where rank <= 20"
 TEXT = "team review review watcher"
 
 
 @query(f"with {CHUNK_TEXTS}, {RUNS}, {_q(TEXT)}, {BM25} {TOP.format('where got = wanted')}")
 def bm25_strict_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(bm25.search(_index(spark, folder), _terms(spark, TEXT)))
+    return _first(bm25.search_text(_index(spark, folder), TEXT))
 
 
 @query(f"with {CHUNK_TEXTS}, {RUNS}, {_q('team review watcher')}, {BM25} {TOP.format('')}")
 def bm25_relaxed_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _top(bm25.search(_index(spark, folder), _terms(spark, TEXT, relaxed=True), strict=False))
+    return _first(bm25.search_text(_index(spark, folder), TEXT, strict=False))
 
 
 @query(

@@ -16,6 +16,8 @@ Spark limits before the shuffle.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +36,14 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     df: DataFrame
+    _numbers: tuple[int, float] | None = None
+
+    def numbers(self) -> tuple[int, float]:
+        """(records, mean length), read once for an index that doesn't change."""
+        if self._numbers is None:
+            r = self.stats().first()
+            self._numbers = r.n_records, r.avgdl or 0.0
+        return self._numbers
 
     def stats(self) -> DataFrame:
         """One row: n_records, avgdl."""
@@ -54,13 +64,13 @@ def lay(records: DataFrame, id_col: str, text_col: str) -> Index:
     spark, folder = records.sparkSession, shared_dir(records.sparkSession)
     tok = records.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("toks"))
     kind = tok.schema["id"].dataType.simpleString()
-    tok.write.parquet(f"{folder}/tokens")
-    tok = spark.read.schema(f"id {kind}, toks array<string>").parquet(f"{folder}/tokens")
-    each = tok.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    tok.withColumn("dl", F.size("toks")).write.parquet(f"{folder}/tokens")
+    tok = spark.read.schema(f"id {kind}, toks array<string>, dl int").parquet(f"{folder}/tokens")
+    each = tok.select("id", "dl", F.explode("toks").alias("term"))
     # A record's tokens lie in one row, so its terms are counted without looking elsewhere.
     each.groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl")).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     postings = spark.read.schema(f"term string, id {kind}, tf int, dl int").parquet(f"{folder}/postings")
-    return Index(postings, tok.select("id", F.size("toks").alias("dl")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    return Index(postings, tok.select("id", "dl"), postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def query_terms(queries: DataFrame, relaxed: bool = False, most: int | None = RELAXED_MOST) -> DataFrame:
@@ -93,6 +103,33 @@ def search(index: Index, terms: DataFrame, strict: bool = True, keep: DataFrame
     return (out.where("got = wanted") if strict else out).select("query_id", "id", "bm25")
 
 
+def search_text(index: Index, text: str, strict: bool = True, keep: DataFrame | None = None, most: int | None = RELAXED_MOST) -> DataFrame:
+    """search() of one query string (query_id 0) without jobs for the query itself: its terms
+    are worked out by the optimiser and become a filter on the postings that reaches the scan.
+    Two small jobs, the terms' numbers of records and the scores, remain."""
+    from inkwell.functions.text import relaxed_tokens
+
+    spark = index.postings.sparkSession
+    toks = (tokens(F.lit(text)) if strict else relaxed_tokens(F.lit(text), most)).alias("t")
+    words = spark.range(1).select(toks).first().t or []
+    wanted = Counter(words)
+    schema = f"query_id int, id {index.postings.schema['id'].dataType.simpleString()}, bm25 double"
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    records, mean = index.numbers()
+    hits = index.postings.where(F.col("term").isin(list(wanted)))
+    n = {r.term: r.n for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term
+    if not n or strict and len(n) < len(wanted):
+        return spark.createDataFrame([], schema)
+    idf = {t: math.log((records - k + 0.5) / (k + 0.5)) for t, k in n.items()}
+    weight = F.create_map(*(F.lit(x) for t, v in idf.items() for x in (t, (v if v > 0 else LEAST_IDF) * wanted[t])))
+    if keep is not None:
+        hits = hits.join(keep, "id", "left_semi")
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    out = hits.groupBy("id").agg((-F.sum(weight[F.col("term")] * tf)).alias("bm25"), F.count(F.lit(1)).alias("got"))
+    return (out.where(F.col("got") == len(wanted)) if strict else out).select(F.lit(0).alias("query_id"), "id", "bm25")
+
+
 def best(scored: DataFrame, score: Column, k: int, by: str = "query_id", tie: str = "id") -> DataFrame:
     """The k rows of each query with the smallest `score`, with rank from 1; ties by id."""
     w = Window.partitionBy(by).orderBy(score, F.col(tie))

@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import snippet, unit, usable
@@ -36,9 +36,9 @@ class SearchService:
         return filters.matching(self.r["files"], f, self.r["frontmatter"], self.r.get("tasks"), self.r.get("code_blocks"))
 
     def _text(self, text: str, strict: bool, pool: int, f: plans.Filters) -> DataFrame:
-        q = self.spark.createDataFrame([(0, text)], "query_id int, query string")
         keep = self.r["chunks"].join(self._files(f).select("file_id"), "file_id", "left_semi").select(F.col("chunk_id").alias("id")) if f else None
-        return bm25.best(bm25.search(self.index, bm25.query_terms(q, not strict), strict, keep), F.col("bm25"), pool)
+        top = bm25.search_text(self.index, text, strict, keep).orderBy("bm25", "id").limit(pool)
+        return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("bm25", "id")))
 
     def search(self, raw: str, limit: int = 50, mode: str = "hybrid", excluded: frozenset[str] = frozenset(), now: float | None = None, pre_filter: bool = False) -> DataFrame:
         """Hits of one search string, best first; mode is hybrid, lexical or semantic."""

@@ -145,3 +145,21 @@ def test_shared_folder_needs_a_setting_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Away)
     assert shared_dir(spark) != shared_dir(spark)
+
+
+def test_one_query_and_a_batch_give_the_same_scores(spark):
+    from inkwell.operators import bm25
+
+    rows = [(1, "a b a c"), (2, "b c"), (3, "a"), (4, None), (5, ""), (6, "d d a b")]
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    laid, built = bm25.lay(df, "chunk_id", "text"), bm25.build(df, "chunk_id", "text")
+    key = lambda d: {r.id: round(r.bm25, 9) for r in d.collect()}
+    for text in ("a b", "a a", "zz a", "d", "", "c b a x"):
+        q = spark.createDataFrame([(0, text)], "query_id int, query string")
+        for strict in (True, False):
+            one = key(bm25.search_text(laid, text, strict))
+            assert one == key(bm25.search(laid, bm25.query_terms(q, not strict), strict)) == key(bm25.search_text(built, text, strict)), (text, strict)
+    keep = spark.createDataFrame([(1,), (6,)], "id long")
+    whole, some = key(bm25.search_text(laid, "a b")), key(bm25.search_text(laid, "a b", keep=keep))
+    assert some == {i: v for i, v in whole.items() if i in (1, 6)} and laid.numbers()[0] == 6
+    assert bm25.search_text(bm25.lay(df.limit(0), "chunk_id", "text"), "a b").count() == 0
